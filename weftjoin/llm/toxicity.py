@@ -16,7 +16,7 @@ from weftjoin.llm import labelled, subword
 
 FOLD = (3, 1)
 THRESHOLD = 0.7
-SETTINGS = subword.Settings(passage=32, epochs=8, seed=11)
+SETTINGS = subword.Settings(dim=4, passage=8, least=40, epochs=5, warm_epochs=2, adaptive=True, per_class=2000, seed=11)
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS) -> subword.Model:

@@ -70,6 +70,7 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 BYTE_VALUES, LOWER_BYTES, IS_SPACE = _byte_tables()
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
+_STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
@@ -84,8 +85,8 @@ def _power_table(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word ends (bytes) and a 64-bit hash of each word, A-Z lower-cased.
+def words_of(raw: bytes, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, word ends (bytes) and a 64-bit hash of each word, A-Z lower-cased; ``is_space`` tells which bytes part words.
 
     The hash is a polynomial over the bytes, found for all words at once from running sums and
     then finalised, so no Python code runs per word.
@@ -93,7 +94,7 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(raw, dtype=np.uint8)
     inside = np.empty(len(data) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
-    inside[1:-1] = ~IS_SPACE[data]
+    inside[1:-1] = ~is_space[data]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
@@ -110,10 +111,10 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return words
     k = min(k, len(words))
     n = len(words) - k + 1
-    total = np.full(n, np.uint64(k), dtype=np.uint64)
-    for i in range(k):
-        total = mix64(total * np.uint64(0x8CB92BA72F3D8DD7) + words[i : i + n])
-    return total
+    total = words[:n] * _STEPS[0]
+    for i in range(1, k):
+        total += words[i : i + n] * _STEPS[i]
+    return mix64(total + np.uint64(k))
 
 
 def utf8(text) -> bytes:

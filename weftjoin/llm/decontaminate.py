@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import utf8, window_hashes, words_of
+from weftjoin.llm.support import python_rows, utf8, window_hashes, words_of
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -151,7 +151,7 @@ def _judged(documents: DataFrame, block: DataFrame, least: int, threshold: float
 
     keys = [f for f in documents.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), RESULT])
-    return documents.mapInPandas(run, schema)
+    return python_rows(documents, run, schema)
 
 
 def find_contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -184,5 +184,5 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, least: int =
             for b in batches:
                 yield b[[all(c < threshold for _, c, _ in seeds.value.coverages(t)) for t in b["text"]]]
 
-        documents = documents.mapInPandas(run, documents.schema)
+        documents = python_rows(documents, run, documents.schema)
     return documents

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm.components import components
-from weftjoin.llm.support import durable, mix64, utf8, window_hashes, words_of
+from weftjoin.llm.support import durable, mix64, python_rows, utf8, window_hashes, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -208,16 +208,16 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     """One row per document: doc_id, n_shingles, component_id, set_size (documents with an equal set)."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
-    first = durable(texts.mapInPandas(lambda bs: _sets_and_reports(bs, k), "kind int, doc_id bigint, n bigint, value bigint"))
+    first = durable(python_rows(texts, lambda bs: _sets_and_reports(bs, k), "kind int, doc_id bigint, n bigint, value bigint"))
     rows = first.filter("kind = 0").select("doc_id", "n", F.col("value").alias("sid"))
     n_docs = rows.count()
     reports = first.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, FREQUENT * n_docs))
     frequent = np.sort(np.array([r["value"] for r in reports.select("value").collect()], dtype=np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
 
-    entries = texts.mapInPandas(lambda bs: _prefixes(bs, k, percent, shared.value), "token bigint, sid bigint, n int, pos int")
+    entries = python_rows(texts, lambda bs: _prefixes(bs, k, percent, shared.value), "token bigint, sid bigint, n int, pos int")
     lists = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
-    listed = durable(lists.mapInPandas(lambda bs: _list_pairs(bs, percent), _LISTED))
+    listed = durable(python_rows(lists, lambda bs: _list_pairs(bs, percent), _LISTED))
     pair = [F.least("sid", "other").alias("x"), F.greatest("sid", "other").alias("y")]
     pairs = durable(listed.filter("rank < 0").groupBy(*pair).agg(F.count("*").alias("hits")))
     held = listed.filter("rank >= 0").select("token", "sid", "n", "pos", "rank")
@@ -233,7 +233,7 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
             found = [s for s in (shingle_set(x, k) for x in b["text"]) if len(s)]
             yield pd.DataFrame({"sid": np.array([set_id(s) for s in found], dtype=np.int64), "shingles": [s.view(np.int64) for s in found]})
 
-    sets = durable(needed.mapInPandas(whole, "sid bigint, shingles array<bigint>"))
+    sets = durable(python_rows(needed, whole, "sid bigint, shingles array<bigint>"))
 
     best = pairs.groupBy("y").agg(F.max_by("x", F.struct("hits", "x")).alias("x"))
     links = durable(_verify(best, sets, percent))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm import subword
-from weftjoin.llm.support import crc_mod, crc_mod_py, utf8
+from weftjoin.llm.support import crc_mod, crc_mod_py, python_rows, utf8
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], s: subword.Settings) -> tuple[list[bytes], list[int]]:
@@ -43,7 +43,7 @@ def score_documents(documents: DataFrame, model: subword.Model, fold: tuple[int,
             yield pd.DataFrame({"doc_id": ids, "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 
     held_out = (crc_mod("doc_id", divisor) == held).alias("held_out")
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double, predicted int").select("doc_id", held_out, "score", "predicted")
+    return python_rows(documents.select("doc_id", "text"), run, "doc_id bigint, score double, predicted int").select("doc_id", held_out, "score", "predicted")
 
 
 def held_out_auc(scored: DataFrame, labels: DataFrame, label: str) -> float:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm.components import components
-from weftjoin.llm.support import durable
+from weftjoin.llm.support import durable, python_rows
 
 THRESHOLD = 0.95
 SAMPLE = 4000
@@ -169,14 +169,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
                 keys = learned[dim].keys(_unit(raw, kind))
                 yield pd.DataFrame({"cls": b["cls"].to_numpy()[at], "size": b["size"].to_numpy()[at], "dim": int(dim), "vector": raw, "keys": list(keys)})
 
-    coded = durable(classes.select("cls", "size", "embedding").mapInPandas(encode, "cls bigint, size bigint, dim int, vector binary, keys array<bigint>"))
+    coded = durable(python_rows(classes.select("cls", "size", "embedding"), encode, "cls bigint, size bigint, dim int, vector binary, keys array<bigint>"))
     short = coded.select("cls", "dim", F.posexplode("keys").alias("t", "key"))
     full = short.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("dim", "t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     members = short.join(full, ["dim", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("cls", "dim", "t", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     gathered = members.join(coded.select("cls", "size", "vector", "keys"), "cls").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    links = durable(gathered.mapInPandas(lambda batches: _stream_blocks(batches, threshold, kind), "cls bigint, links bigint, root bigint"))
+    links = durable(python_rows(gathered, lambda batches: _stream_blocks(batches, threshold, kind), "cls bigint, links bigint, root bigint"))
     joined = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("cls"), "component")
     facts = classes.select("cls", "size", "first_id").join(links.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left").join(joined, "cls", "left")
     lowest = facts.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("lowest"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import durable
+from weftjoin.llm.support import durable, python_rows
 
 CAPACITY = 4096
 END_ID = 1
@@ -142,7 +142,7 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return documents.select("doc_id", "text").mapInPandas(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return python_rows(documents.select("doc_id", "text"), run, PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 @dataclass(frozen=True)
@@ -252,7 +252,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out["offset"] = t["offset"][i] + at % t["each"][i] * length
             yield out
 
-    return ranked.mapInPandas(run, f"{PIECES}, sequence_id bigint, offset bigint")
+    return python_rows(ranked, run, f"{PIECES}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

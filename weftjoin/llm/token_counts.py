@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftjoin.llm.support import python_rows
+
 LIMIT = 4096
 #: Entries of a worker's memory of segment counts, and the longest segment that it keeps.
 MEMO_ENTRIES, MEMO_LENGTH = 300_000, 48
@@ -113,6 +115,6 @@ def count_tokens(documents: DataFrame, model_path: str, cache_path: str, limit:
         for b in batches:
             yield pd.DataFrame({"version": version, "digest": b["digest"], "n_tokens": counter(model_path).counts(b["text"].tolist())})
 
-    misses.mapInPandas(encode, "version string, digest binary, n_tokens bigint").write.mode("append").parquet(cache_path)
+    python_rows(misses, encode, "version string, digest binary, n_tokens bigint").write.mode("append").parquet(cache_path)
     keyed = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest)
     return keyed.join(stored(), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

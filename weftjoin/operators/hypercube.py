@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -47,37 +48,40 @@ def _celled(i: Input, share: dict[int, int]) -> Input:
     return Input(df.withColumn("_cell", cell).drop(*[f"_s{v}" for v, _ in free]), i.variables, i.payload)
 
 
+def _connected(inputs: list[Input], order: list[int]) -> bool:
+    bound = set(inputs[order[0]].variables)
+    for i in order[1:]:
+        if not bound & set(inputs[i].variables):
+            return False
+        bound |= set(inputs[i].variables)
+    return True
+
+
 def run(plan: FJPlan, inputs: list[Input], cells: int = CELLS) -> Input:
     edges = [frozenset(i.variables) for i in inputs]
-    if len(inputs) < 3 or not all(edges) or agm.is_acyclic(edges):
+    if len(inputs) < 3 or not all(edges) or agm.is_acyclic(edges) or not _connected(inputs, native.probe_order(plan, inputs)):
         return native.run(plan, inputs)
     variables, payload = merged(inputs)
+    if any(len({dict(i.df.dtypes)[var(v)] for i in inputs if v in i.variables}) > 1 for v in variables):
+        return native.run(plan, inputs)  # keys of different types are compared by Catalyst's rules
     share = shares(list(variables), inputs, cells)
     order = native.probe_order(plan, inputs)
     parts = [_celled(i, share) for i in inputs]
     tagged = None
     for k, p in enumerate(parts):
-        row = F.struct(*[F.col(f"`{c}`") for c in inputs[k].df.columns])
-        own = p.df.select("_cell", F.lit(k).alias("_k"), *[(row if j == k else F.lit(None).cast(parts_type(inputs[j]))).alias(f"_r{j}") for j in range(len(parts))])
-        tagged = own if tagged is None else tagged.unionAll(own)
+        own = p.df.select("_cell", F.lit(k).alias("_k"), *[F.col(f"`{c}`").alias(f"r{k}_{c}") for c in inputs[k].df.columns])
+        tagged = own if tagged is None else tagged.unionByName(own, allowMissingColumns=True)
     fields = {f.name: f for i in inputs for f in i.df.schema.fields}
     names = [*map(var, variables), *(a.column for a in payload)]
     schema = StructType([StructField(n, fields[n].dataType) for n in names])
     columns, has = [i.df.columns for i in inputs], [list(map(var, i.variables)) for i in inputs]
 
-    def local(group: pd.DataFrame) -> pd.DataFrame:
-        frames = [pd.DataFrame(group.loc[group["_k"] == k, f"_r{k}"].tolist(), columns=columns[k]) for k in range(len(columns))]
-        out, bound = frames[order[0]], set(has[order[0]])
+    def local(cell: pa.Table) -> pa.Table:
+        rows = [cell.filter(pc.equal(cell["_k"], k)).select([f"r{k}_{c}" for c in columns[k]]).rename_columns(columns[k]) for k in range(len(columns))]
+        out, bound = rows[order[0]], set(has[order[0]])
         for k in order[1:]:
-            on = [v for v in has[k] if v in bound]
-            out = out.merge(frames[k], on=on) if on else out.merge(frames[k], how="cross")
+            out = out.join(rows[k], keys=[v for v in has[k] if v in bound], join_type="inner", use_threads=False)
             bound |= set(has[k])
-            if out.empty:
-                return pd.DataFrame({n: [] for n in names})
-        return out[names]
-
-    return Input(tagged.groupBy("_cell").applyInPandas(local, schema), variables, payload)
-
+        return out.select(names)
 
-def parts_type(i: Input) -> str:
-    return i.df.schema.simpleString()
+    return Input(tagged.groupBy("_cell").applyInArrow(local, schema), variables, payload)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import python_rows, utf8, window_hashes, words_of
+from weftjoin.llm.support import python_rows, rows_by_text, utf8, window_hashes, words_of
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -179,10 +179,5 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, least: int =
     """The documents that cover no item to the threshold, all columns kept."""
     for block in _blocks(benchmark, block_bytes):
         seeds = documents.sparkSession.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in block.collect()), least))
-
-        def run(batches, seeds=seeds):
-            for b in batches:
-                yield b[[all(c < threshold for _, c, _ in seeds.value.coverages(t)) for t in b["text"]]]
-
-        documents = python_rows(documents, run, documents.schema)
+        documents = rows_by_text(documents, lambda texts, seeds=seeds: [all(c < threshold for _, c, _ in seeds.value.coverages(t)) for t in texts])
     return documents

@@ -268,3 +268,18 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     known = known.join(lowest, "component", "left").select("sid", "set_size", F.coalesce("lowest", "first_id").alias("lowest"))
     out = rows.join(known, (rows["sid"] == known["sid"]) & (rows["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("set_size", F.lit(1)).alias("set_size"))
+
+
+def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The document of the smallest doc_id of each component, all columns kept.
+
+    Rows that repeat a doc_id are one document, of which the row with the smallest text stays; rows
+    without a doc_id, which nothing could be compared by, stay.
+    """
+    found = durable(jaccard_components(documents, k, percent))
+    leads = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = documents.join(leads.select("doc_id"), "doc_id", "left_semi")
+    if leads.filter("n > 1").take(1):
+        lowest = kept.groupBy("doc_id").agg(F.min("text").alias("_lowest"))
+        kept = kept.join(lowest, "doc_id").filter(F.col("text").eqNullSafe(F.col("_lowest"))).drop("_lowest").dropDuplicates(["doc_id"])
+    return kept.select(*documents.columns).unionByName(documents.filter("doc_id IS NULL"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm import subword
-from weftjoin.llm.support import crc_mod, crc_mod_py, python_rows, utf8
+from weftjoin.llm.support import crc_mod, crc_mod_py, python_rows, rows_by_text, utf8
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], s: subword.Settings) -> tuple[list[bytes], list[int]]:
@@ -46,9 +46,16 @@ def score_documents(documents: DataFrame, model: subword.Model, fold: tuple[int,
     return python_rows(documents.select("doc_id", "text"), run, "doc_id bigint, score double, predicted int").select("doc_id", held_out, "score", "predicted")
 
 
+def keep_scored(documents: DataFrame, model: subword.Model, threshold: float) -> DataFrame:
+    """The rows that score ``threshold`` or more, all columns as they are."""
+    s, bias = model.settings, model.bias
+    table = documents.sparkSession.sparkContext.broadcast(model.logits())
+    return rows_by_text(documents, lambda texts: [subword.score(utf8(t), table.value, bias, s) >= threshold for t in texts])
+
+
 def held_out_auc(scored: DataFrame, labels: DataFrame, label: str) -> float:
     rows = scored.filter("held_out").join(labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")), "doc_id").select("score", "y").toPandas()
     return subword.evaluate(rows["score"].to_numpy(), rows["y"].to_numpy())
 
 
-__all__ = ["crc_mod_py", "held_out_auc", "score_documents", "training_sample"]
+__all__ = ["crc_mod_py", "held_out_auc", "keep_scored", "score_documents", "training_sample"]

@@ -23,3 +23,8 @@ def fit(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SE
 
 def score_quality(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:
     return labelled.score_documents(documents, fit(documents, labels, settings), FOLD, threshold)
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the classifier accepts."""
+    return labelled.keep_scored(documents, fit(documents, labels, settings), threshold)

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftjoin.llm.support import durable
+
 #: The base patterns.  The length conditions are applied to the matches.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -100,12 +102,16 @@ def linked_spans(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     return spans.filter(F.col("kind").isin("assign", "access", "hex")).unionByName(weak)
 
 
-def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_chars_scanned, spans (array of kind, start, stop by start, then kind as in KINDS)."""
+def spans_by_document(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """doc_id, text_hash and spans (start, rank, stop, kind; by start, then kind as in KINDS) of the texts that have any."""
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    spans = linked_spans(candidate_spans(documents), scope)
-    by_doc = spans.groupBy(*DIGEST_KEYS).agg(F.sort_array(F.collect_set(F.struct("start", order[F.col("kind")].alias("rank"), "stop", "kind"))).alias("spans"))
-    d, s = _keyed(documents)[0].select(*DIGEST_KEYS).alias("d"), by_doc.alias("s")
+    spans = linked_spans(durable(candidate_spans(documents)), scope)
+    return spans.groupBy(*DIGEST_KEYS).agg(F.sort_array(F.collect_set(F.struct("start", order[F.col("kind")].alias("rank"), "stop", "kind"))).alias("spans"))
+
+
+def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """One row per document: doc_id, text_hash, spans."""
+    d, s = _keyed(documents)[0].select(*DIGEST_KEYS).alias("d"), spans_by_document(documents, scope).alias("s")
     joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")), "left")
     return joined.select("d.doc_id", "d.text_hash", F.coalesce("s.spans", F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string>>")).alias("spans"))
 
@@ -130,8 +136,8 @@ def secret_digest(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(documents: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
-    """The documents with every reported span replaced by ``mark``; overlapping spans get one mark."""
-    found = scan(documents, scope).filter(F.size("spans") > 0).dropDuplicates(list(DIGEST_KEYS)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_secret_spans"))
+    """The documents with every reported span replaced by ``mark``; overlapping spans get one mark, and n_chars, if there, is the new length."""
+    found = spans_by_document(documents, scope).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_secret_spans"))
     text = F.coalesce("text", F.lit(""))
     keyed = documents.withColumn("_text_hash", F.xxhash64(text, F.char_length(text)))
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
@@ -143,4 +149,9 @@ def redact(documents: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
 
     clean = F.aggregate("_secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    return joined.withColumn("text", F.when(F.col("_secret_spans").isNull(), F.col("text")).otherwise(clean)).select(*documents.columns)
+    changed = F.col("_secret_spans").isNotNull()
+    out = joined.withColumn("_clean", F.when(changed, clean))
+    new = {"text": F.coalesce("_clean", "text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(changed, F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])

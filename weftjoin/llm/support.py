@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def python_rows(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
+def rows_by_text(df: DataFrame, keep) -> DataFrame:
+    """The rows whose text ``keep`` (list of texts -> list of bool) wants, all columns as they are."""
+    _ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column("text").to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_mod(column: str, divisor: int):
     """crc32 of a column as text, modulo ``divisor``; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

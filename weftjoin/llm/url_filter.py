@@ -5,7 +5,7 @@ longest rule wins and decides its pages.  For other pages the host decides.  Hos
 allow rules are trusted seeds, hosts with pages under block rules are blocked seeds, each in proportion
 to such pages.  Trust is personalised PageRank along the links from the trusted seeds; distrust is the
 same against the links from the blocked ones, so it reaches hosts that link to bad ones.  A host is
-blocked if its distrust exceeds both its trust and the even share of all hosts.
+blocked if its distrust exceeds its trust and is at least ``LEAST`` of the even share of all hosts.
 
 Edges are counted per pair of hosts before anything else, so a page's or host's many links shuffle once;
 what an iteration carries is one row per host.
@@ -29,6 +29,7 @@ _URL = r"://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 #: Rules are compared one by one in an expression; longer lists belong in a table of their own.
 MOST_RULES = 1000
+LEAST = 0.25
 
 
 @dataclass(frozen=True)
@@ -103,14 +104,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     return scores
 
 
-def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: list[Rule], least: float = LEAST) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's trust and distrust, one row per page."""
     ruled = with_rules(pages, rules)
     count = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1)).alias(v)
     hosts = durable(ruled.filter("host != ''").groupBy("host").agg(count("allow"), count("block")))
     scores = propagate(durable(host_edges(pages)), hosts)
     even = 1.0 / max(1, hosts.count())
-    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= even)
+    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least * even)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     joined = ruled.join(scores.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("host_verdict")), "host", "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"), zero("trust"), zero("distrust"))

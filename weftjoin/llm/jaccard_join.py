@@ -10,16 +10,19 @@ over all chunks' reports is kept.  That finds every shingle in twice that share
 (mean set size / FREQUENT) of them, so the list can be broadcast.  Any order gives the same result; this one keeps
 passages that many documents share out of the prefixes.
 
-*Block skip.*  The prefixes are an inverted index; each list is sorted by set size, then position, and cut into
-blocks of a size class whose bounds differ by the factor 100/percent.  A set is compared with the leading set of its own block and
-of the block before; all blocks further away are skipped without being looked at, and sizes and positions that
-rule out a link are dropped before a pair is made.  So a list makes two pairs per entry at most.
-
-*Derived answers.*  Once a set is linked with its leader, its component's answers are its own: a pair inside a component is
+*Block skip.*  The prefixes are an inverted index; each list is sorted by set size, then position.  A list of at most
+``SHORT`` entries gives its pairs of fitting sizes, so no entry more than that many, and the entries that a pair has
+in common are counted: a pair is dropped unless so many are common within the prefixes that the rest could make up for
+what is missing.  A longer list is cut into blocks of a size class whose bounds differ by the factor 100/percent, and a set is
+compared with the leading set of its own block and of the block before; blocks further away are skipped without being looked
+at.  Sizes and positions that rule out a link are dropped before a pair is made.  So the pairs are linear in the entries.
+
+*Derived answers.*  Once a set is linked with another, its component's answers are its own: a pair inside a component is
 never verified, and a list whose sets are all in one component is done.  Per set, the pair with most shared
-entries is verified first; then the pairs left between components; then lists that still hold several components
+entries is verified first; then the pairs left between components; then long lists that still hold several components
 are taken up again with 1, 2, 4, ... further leaders, for pairs between components only, until none is left.  The result
-is that of all pairs; the work follows the number of pairs between unlike sets that share a rare shingle.
+is that of all pairs; the work follows the number of pairs between unlike sets that share a frequent shingle early in
+their order, that is, of sets which consist of such shingles for the most part.
 
 Cases: null and empty texts, and texts without words, have no set and link with nothing; with fewer than ``k``
 words the whole sequence is the one shingle; null doc_id is a row of its own (component null unless linked);
@@ -40,6 +43,9 @@ SHINGLE = 5
 PERCENT = 75
 FREQUENT = 0.002
 CHUNK_SHINGLES = 2_000_000
+SHORT = 64
+#: Ids of documents whose sets are fetched; up to so many (8 bytes each) go to the executors, more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -109,8 +115,12 @@ def _columns(parts: list[tuple]) -> pd.DataFrame:
 
 
 def could_link(n1, p1, n2, p2, percent: int = PERCENT):
-    """Size and position filter of two sets that share the entry at positions ``p1`` and ``p2``; plain arithmetic, on arrays too."""
-    most = np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)
+    """Whether two sets whose first common entry is at positions ``p1`` and ``p2`` may link; plain arithmetic, on arrays too.
+
+    What they have in common is then at or behind those positions.  A pair that links passes at its first common
+    entry, so it may be dropped at any other.
+    """
+    most = np.minimum(n1 - p1, n2 - p2)
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
@@ -119,7 +129,7 @@ def size_class(n, percent: int = PERCENT):
 
 
 class _Lists:
-    """Index lists that stream by, sorted by token, n, pos, sid: pairs with block leaders, and the entries of lists of three or more."""
+    """Index lists that stream by, sorted by token, n, pos, sid: pairs of short lists; leaders' pairs and the entries of long ones."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -145,11 +155,12 @@ class _Lists:
         starts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1))
         sizes = np.diff(np.append(starts, len(rows)))
         going_on = self.done > 0 and not new[0]
-        if not last and sizes[-1] < 3 and not (going_on and len(starts) == 1):
+        if not last and sizes[-1] <= SHORT and not (going_on and len(starts) == 1):
             end, tail = starts[-1], rows.iloc[starts[-1] :]
         else:
             end, tail = len(rows), None
         own = np.repeat(np.arange(len(starts)), sizes)[:end]
+        long = (sizes[own] > SHORT) | ((own == 0) & going_on)
         kind = size_class(n[:end], self.percent)
         block = np.concatenate(([True], (own[1:] != own[:-1]) | (kind[1:] != kind[:-1]))) if end else np.zeros(0, dtype=bool)
         leader = np.maximum.accumulate(np.where(block, np.arange(end), 0))
@@ -158,14 +169,30 @@ class _Lists:
         before = np.where(rank_of_block > 0, heads[np.maximum(rank_of_block - 1, 0)], 0)
         out = []
         i = np.arange(end)
+
+        def pairs(first: np.ndarray, second: np.ndarray, mark: int) -> None:
+            fits = 100 * n[first] >= self.percent * n[second]  # lists are sorted by size
+            first, second = first[fits], second[fits]
+            ok = could_link(n[first], pos[first], n[second], pos[second], self.percent)
+            if mark == _LEADER:
+                first, second, ok = first[ok], second[ok], ok[ok]
+            if len(first):
+                out.append(pd.DataFrame({"token": 0, "sid": sid[first], "n": n[first], "pos": ok.astype(np.int32), "other": sid[second], "m": n[second], "rank": mark}))
+
         for lead in (leader, before):
-            ok = new[:end] & (sid[lead] != sid[:end]) & (own[lead] == own) & (lead < i) & (kind[lead] >= kind - 1)
-            ok[ok] = could_link(n[i[ok]], pos[i[ok]], n[lead[ok]], pos[lead[ok]], self.percent)
-            out.append(pd.DataFrame({"token": 0, "sid": sid[lead[ok]], "n": n[lead[ok]], "pos": 0, "other": sid[i[ok]], "m": n[i[ok]], "rank": -1}))
+            take = np.flatnonzero(new[:end] & long & (sid[lead] != sid[:end]) & (own[lead] == own) & (lead < i) & (kind[lead] >= kind - 1))
+            pairs(lead[take], take, _LEADER)
+        short = np.flatnonzero(~long & (sizes[own] > 1))
+        behind = starts[own] + sizes[own] - 1
+        for step in range(1, SHORT):
+            short = short[behind[short] >= short + step]
+            if not len(short):
+                break
+            pairs(short, short + step, _PAIR)
         offset = np.where(own == 0, self.done - (~new[:end] & (own == 0)).sum(), 0) if going_on and end else np.zeros(end, dtype=np.int64)
         rank = i - starts[own] + offset
-        long = new[:end] & ((sizes[own] >= 3) | ((own == 0) & going_on))
-        out.append(pd.DataFrame({"token": token[i[long]], "sid": sid[i[long]], "n": n[i[long]], "pos": pos[i[long]], "other": 0, "m": 0, "rank": rank[long]}))
+        held = new[:end] & long
+        out.append(pd.DataFrame({"token": token[i[held]], "sid": sid[i[held]], "n": n[i[held]], "pos": pos[i[held]], "other": 0, "m": 0, "rank": rank[held]}))
         if tail is not None:
             self.rows, self.done = tail, 0
         elif not last:
@@ -175,6 +202,8 @@ class _Lists:
         return pd.concat(out, ignore_index=True)
 
 
+#: What a row of the list pass is: a pair of a short list, a pair with a leader, or (0 and up) an entry of a long list.
+_PAIR, _LEADER = -1, -2
 _LISTED = "token bigint, sid bigint, n int, pos int, other bigint, m int, rank bigint"
 
 
@@ -187,6 +216,29 @@ def _list_pairs(batches, percent: int):
         yield out
 
 
+def _candidates(listed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(x, y, hits): pairs that may link, with the entries seen in common.
+
+    What two sets have in common up to where the shorter reaching prefix ends was counted, but for entries of long lists; behind that there is at
+    most what either set has behind its own prefix.
+    """
+    swap = F.col("sid") > F.col("other")
+    pick = lambda a, b, name: F.when(swap, F.col(a)).otherwise(F.col(b)).alias(name)
+    ends = [pick("other", "sid", "x"), pick("sid", "other", "y"), pick("m", "n", "nx"), pick("n", "m", "ny")]
+    led = F.max((F.col("rank") == _LEADER).cast("int")).alias("led")
+    seen = listed.filter("rank < 0").groupBy(*ends).agg(F.count("*").alias("hits"), F.max("pos").alias("ok"), led)
+    seen = seen.filter("ok = 1 OR led = 1").drop("ok")
+    unseen = F.lit(0)
+    if held.take(1):
+        long = held.groupBy("sid").agg(F.count("*").alias("n_long"))
+        for c in ("x", "y"):
+            seen = seen.join(long.select(F.col("sid").alias(c), F.col("n_long").alias(f"long_{c}")), c, "left").fillna(0, [f"long_{c}"])
+        unseen = F.least("long_x", "long_y")
+    behind = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1  # noqa: E731  entries behind the prefix
+    enough = (100 + percent) * (F.col("hits") + unseen + F.greatest(behind("nx"), behind("ny"))) >= percent * (F.col("nx") + F.col("ny"))
+    return durable(seen.filter(enough).select("x", "y", "hits"))
+
+
 def _between(pairs: DataFrame, member: DataFrame | None) -> DataFrame:
     """Of pairs (x, y), those whose ends aren't in one component."""
     if member is None:
@@ -218,13 +270,14 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     entries = python_rows(texts, lambda bs: _prefixes(bs, k, percent, shared.value), "token bigint, sid bigint, n int, pos int")
     lists = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
     listed = durable(python_rows(lists, lambda bs: _list_pairs(bs, percent), _LISTED))
-    pair = [F.least("sid", "other").alias("x"), F.greatest("sid", "other").alias("y")]
-    pairs = durable(listed.filter("rank < 0").groupBy(*pair).agg(F.count("*").alias("hits")))
     held = listed.filter("rank >= 0").select("token", "sid", "n", "pos", "rank")
+    pairs = _candidates(listed, held, percent)
 
     reps = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("set_size"))
     wanted = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).unionByName(held.select("sid")).distinct()
-    chosen = wanted.join(reps, "sid").select(F.col("first_id").alias("doc_id")).distinct()
+    chosen = durable(wanted.join(reps, "sid").select(F.col("first_id").alias("doc_id")).distinct())
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     t, c = texts.alias("t"), chosen.alias("c")
     needed = t.join(c, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi").select("t.text")
 
@@ -250,7 +303,7 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
         if not held.take(1):
             break
         q = held.filter((F.col("rank") >= lead) & (F.col("rank") < lead + step)).select("token", *[F.col(c).alias(f"q_{c}") for c in ("sid", "n", "pos", "rank", "component")])
-        most = F.least(F.col("n") - F.col("pos"), F.col("q_n") - F.col("q_pos")) + F.least("pos", "q_pos")
+        most = F.least(F.col("n") - F.col("pos"), F.col("q_n") - F.col("q_pos"))
         met = held.join(q, "token").filter((F.col("rank") > F.col("q_rank")) & (F.col("component") != F.col("q_component")))
         met = met.filter((100 * F.least("n", "q_n") >= percent * F.greatest("n", "q_n")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("q_n"))))
         fresh = met.select(F.least("sid", "q_sid").alias("x"), F.greatest("sid", "q_sid").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")

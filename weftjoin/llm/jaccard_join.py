@@ -20,7 +20,7 @@ at.  Sizes and positions that rule out a link are dropped before a pair is made.
 *Derived answers.*  Once a set is linked with another, its component's answers are its own: a pair inside a component is
 never verified, and a list whose sets are all in one component is done.  Per set, the pair with most shared
 entries is verified first; then the pairs left between components; then long lists that still hold several components
-are taken up again with 1, 2, 4, ... further leaders, for pairs between components only, until none is left.  The result
+are taken up again with 1, 4, 16, ... further leaders, for pairs between components only, until none is left.  The result
 is that of all pairs; the work follows the number of pairs between unlike sets that share a frequent shingle early in
 their order, that is, of sets which consist of such shingles for the most part.
 
@@ -41,9 +41,9 @@ from weftjoin.llm.support import durable, mix64, python_rows, utf8, window_hashe
 
 SHINGLE = 5
 PERCENT = 75
-FREQUENT = 0.002
-CHUNK_SHINGLES = 2_000_000
-SHORT = 64
+FREQUENT = 0.0005
+CHUNK_SHINGLES = 4_000_000
+SHORT = 128
 #: Ids of documents whose sets are fetched; up to so many (8 bytes each) go to the executors, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -256,6 +256,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def _joined(member: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links; what is known of a component is one edge for each of its sets."""
+    if not more.take(1):
+        return member
+    return components(member.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, set_size (documents with an equal set)."""
     spark = documents.sparkSession
@@ -264,7 +271,7 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     rows = first.filter("kind = 0").select("doc_id", "n", F.col("value").alias("sid"))
     n_docs = rows.count()
     reports = first.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, FREQUENT * n_docs))
-    frequent = np.sort(np.array([r["value"] for r in reports.select("value").collect()], dtype=np.int64).view(np.uint64))
+    frequent = np.sort(reports.select("value").toArrow().column("value").to_numpy().astype(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
 
     entries = python_rows(texts, lambda bs: _prefixes(bs, k, percent, shared.value), "token bigint, sid bigint, n int, pos int")
@@ -289,12 +296,11 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     sets = durable(python_rows(needed, whole, "sid bigint, shingles array<bigint>"))
 
     best = pairs.groupBy("y").agg(F.max_by("x", F.struct("hits", "x")).alias("x"))
-    links = durable(_verify(best, sets, percent))
-    member = components(links)
+    member = components(_verify(best, sets, percent))
     rest = durable(_between(pairs.join(best, ["x", "y"], "left_anti"), member))
-    links = durable(links.unionByName(_verify(rest, sets, percent)))
-    member = components(links)
+    member = _joined(member, durable(_verify(rest, sets, percent)))
 
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tried, lead, step = pairs.select("x", "y"), 0, 1
     while True:
         held = held.join(member.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -308,13 +314,10 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
         met = met.filter((100 * F.least("n", "q_n") >= percent * F.greatest("n", "q_n")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("q_n"))))
         fresh = met.select(F.least("sid", "q_sid").alias("x"), F.greatest("sid", "q_sid").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
         fresh = durable(fresh)
-        more = durable(_verify(fresh, sets, percent))
-        if more.take(1):
-            links = durable(links.unionByName(more))
-            member = components(links)
-        tried = durable(tried.unionByName(fresh))
+        member = _joined(member, durable(_verify(fresh, sets, percent)))
+        tried = durable(tried.unionByName(fresh).coalesce(width))
         held = held.select("token", "sid", "n", "pos", "rank")
-        lead, step = lead + step, step * 2
+        lead, step = lead + step, step * 4
 
     known = reps.join(member.withColumnRenamed("id", "sid"), "sid", "left")
     lowest = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("lowest"))

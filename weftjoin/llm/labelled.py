@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +34,17 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, fold: t
     return [utf8(t) for _, t, _ in rows], [y for _, _, y in rows]
 
 
+def fitted(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], s: subword.Settings) -> subword.Model:
+    """A model trained on the driver, which hands the memory of the training back to the system."""
+    texts, y = training_sample(documents, labels, label, fold, s)
+    model = subword.train(texts, y, s)
+    del texts, y
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return model
+
+
 def score_documents(documents: DataFrame, model: subword.Model, fold: tuple[int, int], threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; the model goes out as one broadcast table of fixed size."""
     s, bias = model.settings, model.bias
@@ -58,4 +73,4 @@ def held_out_auc(scored: DataFrame, labels: DataFrame, label: str) -> float:
     return subword.evaluate(rows["score"].to_numpy(), rows["y"].to_numpy())
 
 
-__all__ = ["crc_mod_py", "held_out_auc", "keep_scored", "score_documents", "training_sample"]
+__all__ = ["crc_mod_py", "fitted", "held_out_auc", "keep_scored", "score_documents", "training_sample"]

@@ -17,8 +17,7 @@ SETTINGS = subword.Settings()
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS) -> subword.Model:
-    texts, y = labelled.training_sample(documents, labels, "quality", FOLD, settings)
-    return subword.train(texts, y, settings)
+    return labelled.fitted(documents, labels, "quality", FOLD, settings)
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:

@@ -88,4 +88,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from weftjoin.llm import oracles
+
+    return {"op2_ngram_jaccard": oracles.JACCARD, "op7_chat_format": oracles.chat(), "op10_near_vectors": oracles.VECTORS}

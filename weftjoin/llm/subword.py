@@ -40,7 +40,7 @@ class Settings:
     warm_epochs: int = 0
     rate: float = 0.5
     adaptive: bool = False
-    per_class: int = 2500
+    per_class: int = 1500
     longest_bytes: int = 40_000
     seed: int = 7
 
@@ -158,8 +158,11 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     weights[0, ::2] = weights[1, 1::2] = 1
     if len(set(labels)) < 2:
         return Model(s, np.zeros_like(emb), weights, 3.0 if 1 in labels else -3.0 if labels else 0.0)
-    parts = [features(t, s) for t in texts]
-    whole = [_shares(p[0], s) if len(p) == 1 else None for p in parts]
+    parts, whole = [], []
+    for t in texts:
+        p = features(t, s)
+        whole.append(_shares(p[0], s) if len(p) == 1 else None)
+        parts.append(p if len(p) > 1 else None)
     bias, done, n_steps = 0.0, 0, s.epochs * len(parts)
     n1 = sum(labels)
     heft = [1.0, min(3.0, max(1.0, (len(labels) - n1) / n1))]
@@ -168,7 +171,7 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
             rate = s.rate * (1 - done / n_steps) * heft[labels[i]]
             done += 1
             toward = weights[1] - weights[0]
-            if not parts[i]:
+            if parts[i] is None and whole[i] is None:
                 bias -= 0.05 * rate * (_sigmoid(bias) - labels[i])
                 continue
             if whole[i] is None and epoch < s.warm_epochs:

@@ -16,12 +16,11 @@ from weftjoin.llm import labelled, subword
 
 FOLD = (3, 1)
 THRESHOLD = 0.7
-SETTINGS = subword.Settings(dim=4, passage=8, least=40, epochs=5, warm_epochs=2, adaptive=True, per_class=2000, seed=11)
+SETTINGS = subword.Settings(dim=4, passage=8, least=40, epochs=5, warm_epochs=2, adaptive=True, seed=11)
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS) -> subword.Model:
-    texts, y = labelled.training_sample(documents, labels, "toxic", FOLD, settings)
-    return subword.train(texts, y, settings)
+    return labelled.fitted(documents, labels, "toxic", FOLD, settings)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm import subword
-from weftjoin.llm.support import crc_mod, crc_mod_py, python_rows, rows_by_text, utf8
+from weftjoin.llm.support import crc_mod, python_rows, rows_by_text, utf8
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], s: subword.Settings) -> tuple[list[bytes], list[int]]:
@@ -71,6 +71,3 @@ def keep_scored(documents: DataFrame, model: subword.Model, threshold: float) ->
 def held_out_auc(scored: DataFrame, labels: DataFrame, label: str) -> float:
     rows = scored.filter("held_out").join(labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")), "doc_id").select("score", "y").toPandas()
     return subword.evaluate(rows["score"].to_numpy(), rows["y"].to_numpy())
-
-
-__all__ = ["crc_mod_py", "fitted", "held_out_auc", "keep_scored", "score_documents", "training_sample"]

@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-import zlib
 from pathlib import Path
 
 import numpy as np
@@ -82,10 +81,6 @@ def crc_mod(column: str, divisor: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def crc_mod_py(value, divisor: int) -> int:
-    return zlib.crc32(b"" if value is None else str(value).encode()) % divisor
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise and invertible."""
     x = x ^ (x >> np.uint64(31))

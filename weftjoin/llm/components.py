@@ -30,6 +30,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (larger, smaller) are stars: every larger end has one edge, and no end is both."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    odd = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up > 1 OR (up = 1 AND low = 1)")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id that an edge (u, v) has; ``component`` is the smallest id it can reach.
 
@@ -37,13 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     without edges there are no rows.
     """
     now = durable(edges.select("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     for _ in range(_ROUNDS):
-        now = durable(_star(_star(now, large=True), large=False))
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == before:
+        if _settled(now):
             break
-        before = mark
+        now = durable(_star(_star(now, large=True), large=False))
     else:
         raise RuntimeError(f"components did not settle in {_ROUNDS} rounds")
     own = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -4,10 +4,10 @@ A document's set is its distinct ``k``-word shingles, kept as 64-bit hashes; tex
 set.  Two sets link when their intersection is at least ``percent`` hundredths of their union.
 
 *Order.*  Shingles are ordered by (frequent or not, hash), and by the prefix principle two sets that link
-share a shingle among the first ``n - ceil(percent * n) + 1`` of each.  A shingle is frequent if it is in more than
-``FREQUENT`` of the documents: every chunk of the input reports what reaches that share in it, and what reaches it
-over all chunks' reports is kept.  That finds every shingle in twice that share of the documents, and at most
-(mean set size / FREQUENT) of them, so the list can be broadcast.  Any order gives the same result; this one keeps
+share a shingle among the first ``n - ceil(percent * n) + 1`` of each.  Shingles in ``FREQUENT`` of
+the documents or more are frequent: every chunk of the input reports what reaches half that share in it, and what reaches
+half that share over all chunks' reports is kept.  Where chunks are large enough for that half to be three documents, every
+shingle of that share is found, and there are at most twice (mean set size / FREQUENT) of them, so the list can be broadcast.  Any order gives the same result; this one keeps
 passages that many documents share out of the prefixes.
 
 *Block skip.*  The prefixes are an inverted index; each list is sorted by set size, then position.  A list of at most
@@ -69,7 +69,7 @@ def _sets_and_reports(batches, k: int):
 
     def report() -> pd.DataFrame:
         values, times = np.unique(np.concatenate(pool), return_counts=True)
-        often = times >= max(3, FREQUENT * docs)
+        often = times >= max(3, FREQUENT / 2 * docs)
         return pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": times[often], "value": values[often].view(np.int64)})
 
     for b in batches:
@@ -270,7 +270,7 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     first = durable(python_rows(texts, lambda bs: _sets_and_reports(bs, k), "kind int, doc_id bigint, n bigint, value bigint"))
     rows = first.filter("kind = 0").select("doc_id", "n", F.col("value").alias("sid"))
     n_docs = rows.count()
-    reports = first.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, FREQUENT * n_docs))
+    reports = first.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, FREQUENT / 2 * n_docs))
     frequent = np.sort(reports.select("value").toArrow().column("value").to_numpy().astype(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
 

@@ -155,6 +155,32 @@ def test_vector_recall_and_precision(spark, block):
     assert all(got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i) for i in got)
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["common mean", "hot group"])
+def test_vector_recall_where_centring_widens_angles(spark, kind):
+    """Pairs just over the threshold, of vectors with a mean cosine of 0.7, or in a group that is a third of the rows."""
+    rng = np.random.default_rng(3)
+    free = unit(rng.standard_normal((4000, 64)))
+    if kind == "common mean":
+        base = unit(np.sqrt(0.7) * unit(rng.standard_normal(64)) + np.sqrt(0.3) * free)
+        off = rng.standard_normal((2000, 64))
+        off = unit(off - (off * base[:2000]).sum(axis=1, keepdims=True) * base[:2000])
+        cosine = rng.uniform(0.951, 0.955, (2000, 1))
+        x = np.concatenate((base, cosine * base[:2000] + np.sqrt(1 - cosine**2) * off))
+    else:
+        x = np.concatenate((free, unit(unit(rng.standard_normal(64)) + 0.23 * unit(rng.standard_normal((2000, 64))))))
+    x = x.astype(np.float32)
+    wide = unit(x.astype(np.float64))
+    linked = wide @ wide.T >= 0.95
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    got = near_vectors.near_vectors(vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(x)])).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    assert (got <= want).all() and want.sum() >= 3900 and got.sum() >= 0.94 * want.sum()
+
+
 def test_table_sizes_follow_the_data():
     small, large = near_vectors.size_tables(1000, 0.95, 0.95), near_vectors.size_tables(10**9, 0.95, 0.95)
     assert small[0] < large[0] and small[1] < large[1]

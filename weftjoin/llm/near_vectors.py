@@ -5,7 +5,11 @@ principal directions and a rotation are learned that make balanced binary codes;
 takes one substring of the code, and vectors whose substring in some table is equal are compared.  The
 substrings are as long as the number of classes asks for, so that a table's buckets hold few unlike
 vectors at any size, and there are as many tables as the wanted recall of a pair just at the threshold
-then takes.  In a bucket the cosine is computed from the original vectors in double precision, so no
+then takes.  That number is measured, not computed: vectors of the sample are paired with vectors at exactly the
+threshold from them, off in random directions and towards other (near, if there are) vectors of the sample, and tables are
+added until those pairs meet, also for the tenth of the vectors that fares worst.  So a common mean or a
+large group that the cuts go through gets more tables.  Of the lengths of substrings the one with the least work
+is taken; where tables don't pay, all vectors are one bucket.  In a bucket the cosine is computed from the original vectors in double precision, so no
 pair below the threshold is linked.
 
 A pair that meets in several tables counts in the first of them, which both rows' keys tell, so links
@@ -35,6 +39,10 @@ THRESHOLD = 0.95
 SAMPLE = 4000
 RECALL = 0.95
 BLOCK = 512
+#: Vectors of the sample that recall is measured at, and pairs of each.
+ANCHORS, PARTNERS = 256, 16
+#: So many pairs in a bucket are as much work as one row that is brought there.
+PAIRS_A_ROW = 512
 
 
 @dataclass(frozen=True)
@@ -53,23 +61,22 @@ class Tables:
 
 
 def size_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits of a substring and number of tables for ``n`` vectors."""
+    """Bits of a substring, at most, and number of tables for ``n`` vectors whose bits are cut through the origin."""
     bits = min(40, max(8, math.ceil(math.log2(max(n, 2))) + 1))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def learn(sample: np.ndarray, dim: int, bits: int, tables: int, rounds: int = 15, seed: int = 5) -> Tables:
+def _cuts(sample: np.ndarray, dim: int, rounds: int, rng: np.random.Generator):
     """Iterative quantisation: alternately the nearest binary codes and the rotation that fits them best.
 
-    A rotation gives as many bits as there are directions; further tables start from other rotations.
+    Gives (directions, offsets) without end; a rotation gives as many bits as there are directions, and further ones start
+    from other rotations.
     """
-    rng = np.random.default_rng(seed)
-    need, got, offsets = bits * tables, [], []
     mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     centred = sample - mean
     basis = np.linalg.svd(centred, full_matrices=True)[2].T if len(sample) > dim else np.eye(dim)
-    while sum(g.shape[1] for g in got) < need:
+    while True:
         rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         projected = centred @ basis
         for _ in range(rounds if len(sample) > dim else 0):
@@ -78,9 +85,63 @@ def learn(sample: np.ndarray, dim: int, bits: int, tables: int, rounds: int = 15
             rotation = (u @ w).T
         turned = basis @ rotation
         turned = turned[:, rng.permutation(dim)]
-        got.append(turned)
-        offsets.append(np.median(sample @ turned, axis=0) if len(sample) else np.zeros(dim))
-    return Tables(bits, np.concatenate(got, axis=1)[:, :need], np.concatenate(offsets)[:need])
+        yield turned, np.median(sample @ turned, axis=0) if len(sample) else np.zeros(dim)
+
+
+def _pairs_at(threshold: float, sample: np.ndarray, dim: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors (m x dim), and for each ``PARTNERS`` unit vectors (m x PARTNERS x dim) at the cosine ``threshold`` from it."""
+    if len(sample):
+        anchors = sample[rng.permutation(len(sample))[:ANCHORS]]
+    else:
+        anchors = rng.standard_normal((ANCHORS, dim))
+        anchors /= np.linalg.norm(anchors, axis=1, keepdims=True)
+    off = rng.standard_normal((2, len(anchors), PARTNERS, dim))
+    if len(sample) > PARTNERS:
+        cosine = anchors @ sample.T
+        order = rng.random(cosine.shape) + (cosine >= threshold) - 3 * (cosine > 1 - 1e-9)  # near ones first, itself last
+        towards = sample[np.argpartition(-order, PARTNERS, axis=1)[:, :PARTNERS]] - anchors[:, None]
+        across = towards - (towards * anchors[:, None]).sum(axis=2, keepdims=True) * anchors[:, None]
+        off[1] = np.where(np.linalg.norm(across, axis=2, keepdims=True) > 1e-6, across, off[1])
+    anchors, off = np.concatenate((anchors, anchors)), off.reshape(-1, PARTNERS, dim)
+    off -= (off * anchors[:, None]).sum(axis=2, keepdims=True) * anchors[:, None]
+    off /= np.maximum(np.linalg.norm(off, axis=2, keepdims=True), 1e-300)
+    return anchors, threshold * anchors[:, None] + math.sqrt(1 - threshold * threshold) * off
+
+
+def _worst_recall(met: np.ndarray) -> float:
+    """Share of pairs (m x PARTNERS) that met, of the tenth of the anchors that fares worst as the other half of their pairs tells."""
+    told = np.argsort(met[:, ::2].mean(axis=1), kind="stable")[: max(1, len(met) // 10)]
+    return float(met[told, 1::2].mean())
+
+
+def learn(sample: np.ndarray, dim: int, n: int, threshold: float, recall: float, rounds: int = 15, seed: int = 5) -> Tables:
+    """Tables for ``n`` vectors, by the recall and the size of buckets that they have on the sample.
+
+    Substrings are tried from short to long, until the tables that the next would take are more work than the best of them.
+    """
+    rng = np.random.default_rng(seed)
+    anchors, partners = _pairs_at(threshold, sample, dim, rng)
+    cuts = _cuts(sample, dim, rounds, rng)
+    directions, offsets = np.zeros((dim, 0)), np.zeros(0)
+    same, signs = np.zeros((*partners.shape[:2], 0), dtype=bool), np.zeros((len(sample), 0), dtype=bool)
+    best, least = Tables(1, np.zeros((dim, 1)), np.zeros(1)), 1 + n / PAIRS_A_ROW  # one bucket
+    for bits in range(1, size_tables(n, threshold, recall)[0] + 1):
+        met, tables, shared = np.zeros(partners.shape[:2], dtype=bool), 0, 0.0
+        while (reached := _worst_recall(met) >= recall) is False and tables < least:
+            lo, tables = tables * bits, tables + 1
+            while directions.shape[1] < tables * bits:
+                turned, cut = next(cuts)
+                directions, offsets = np.concatenate((directions, turned), axis=1), np.concatenate((offsets, cut))
+                same = np.concatenate((same, (anchors @ turned > cut)[:, None] == (partners @ turned > cut)), axis=2)
+                signs = np.concatenate((signs, sample @ turned > cut), axis=1)
+            met |= same[:, :, lo : tables * bits].all(axis=2)
+            sizes = np.unique(np.packbits(signs[:, lo : tables * bits], axis=1), axis=0, return_counts=True)[1] if len(sample) > 1 else np.zeros(1)
+            shared += max(0.5**bits, (sizes * (sizes - 1)).sum() / max(1, len(sample) * (len(sample) - 1)))
+        if not reached:
+            break
+        if (work := tables + shared * n / PAIRS_A_ROW) < least:
+            best, least = Tables(bits, directions[:, : tables * bits], offsets[: tables * bits]), work
+    return best
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -149,12 +210,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
     classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding"))
     classes = durable(classes)
     n = classes.count()
-    bits, tables = size_tables(n, threshold, recall)
     drawn = [np.asarray(r["embedding"], dtype=kind) for r in classes.orderBy("cls").limit(sample).select("embedding").collect()]
     lengths = [len(v) for v in drawn]
     common = max(set(lengths), key=lengths.count) if lengths else 1
     same = [v.tobytes() for v in drawn if len(v) == common]
-    model = spark.sparkContext.broadcast(learn(_unit(same, kind) if same else np.zeros((0, common)), common, bits, tables))
+    model = spark.sparkContext.broadcast(learn(_unit(same, kind) if same else np.zeros((0, common)), common, n, threshold, recall))
 
     def encode(batches):
         learned = {common: model.value}
@@ -164,7 +224,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 if dim not in learned:
-                    learned[dim] = learn(np.zeros((0, dim)), int(dim), bits, tables)
+                    learned[dim] = learn(np.zeros((0, dim)), int(dim), n, threshold, recall)
                 raw = [vectors[i].tobytes() for i in at]
                 keys = learned[dim].keys(_unit(raw, kind))
                 yield pd.DataFrame({"cls": b["cls"].to_numpy()[at], "size": b["size"].to_numpy()[at], "dim": int(dim), "vector": raw, "keys": list(keys)})

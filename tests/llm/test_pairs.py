@@ -82,6 +82,23 @@ def test_lists_that_hold_several_components_are_taken_up_again(spark):
     check_jaccard(spark, texts)
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_links_are_counted_whole(spark, monkeypatch, block):
+    """Every link of a group of near copies, equal texts included, not only those that join components."""
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", block)
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rnd.choice(vocabulary) for _ in range(80)]
+    texts = [None, "", "one two", "One  Two", "a b c"] + [edited(rnd, base, i % 6, vocabulary) for i in range(50)] + [" ".join(base)] * 3
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_links(df).collect()}
+    sets = [sets_of(t) for t in texts]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert sum(want) > 500 and [got[i]["n_links"] for i in range(len(texts))] == want
+    plain = {r["doc_id"]: r for r in jaccard_join.jaccard_components(df).collect()}
+    assert all(got[i].asDict() == plain[i].asDict() | {"n_links": got[i]["n_links"]} for i in got)
+
+
 def test_prefix_and_filters():
     for n in range(1, 60):
         assert jaccard_join.prefix_length(n) == n - -(-3 * n // 4) + 1

@@ -24,6 +24,11 @@ are taken up again with 1, 4, 16, ... further leaders, for pairs between compone
 is that of all pairs; the work follows the number of pairs between unlike sets that share a frequent shingle early in
 their order, that is, of sets which consist of such shingles for the most part.
 
+*Links.*  ``jaccard_links`` also counts every document's links.  Linked sets are in one component, so the components bound
+the search: a component's sets are cut into blocks by size, all pairs of blocks whose sizes may fit are compared by the
+whole sets, and links are counted, not listed.  No answer list of a set is kept or derived from a similar set's: a component
+of c unlike sets takes c^2 / 2 comparisons, at most ``LINK_BLOCK``^2 of them in a group.
+
 Cases: null and empty texts, and texts without words, have no set and link with nothing; with fewer than ``k``
 words the whole sequence is the one shingle; null doc_id is a row of its own (component null unless linked);
 repeated rows link as equal sets; an empty table gives no rows; other columns are ignored.
@@ -46,6 +51,8 @@ CHUNK_SHINGLES = 4_000_000
 SHORT = 128
 #: Ids of documents whose sets are fetched; up to so many (8 bytes each) go to the executors, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Sets of a block of a component, and shingles counted at once, where links are counted.
+LINK_BLOCK, LINK_SHINGLES = 256, 8192
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -263,8 +270,8 @@ def _joined(member: DataFrame, more: DataFrame) -> DataFrame:
     return components(member.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
-def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, set_size (documents with an equal set)."""
+def _resolved(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, sid), what is known of each set (sid, set_size, component, lowest), and the sets (sid, shingles) that may link."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     first = durable(python_rows(texts, lambda bs: _sets_and_reports(bs, k), "kind int, doc_id bigint, n bigint, value bigint"))
@@ -321,9 +328,73 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
 
     known = reps.join(member.withColumnRenamed("id", "sid"), "sid", "left")
     lowest = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    known = known.join(lowest, "component", "left").select("sid", "set_size", F.coalesce("lowest", "first_id").alias("lowest"))
+    known = known.join(lowest, "component", "left").select("sid", "set_size", "component", F.coalesce("lowest", "first_id").alias("lowest"))
+    return rows, known, sets
+
+
+def _by_document(rows: DataFrame, known: DataFrame, *more) -> DataFrame:
     out = rows.join(known, (rows["sid"] == known["sid"]) & (rows["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("set_size", F.lit(1)).alias("set_size"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("set_size", F.lit(1)).alias("set_size"), *more)
+
+
+def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, set_size (documents with an equal set)."""
+    rows, known, _ = _resolved(documents, k, percent)
+    return _by_document(rows, known)
+
+
+def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of the sets of one pair of blocks, each link counted by the size of the other set: sid, links."""
+    sets = rows["shingles"].tolist()
+    n = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    of, at = np.repeat(np.arange(len(sets)), n)[order], at[order]
+    shared = np.zeros((len(sets), len(sets)))
+    for lo in range(0, len(values), LINK_SHINGLES):
+        a, b = np.searchsorted(at, (lo, lo + LINK_SHINGLES))
+        has = np.zeros((len(sets), min(LINK_SHINGLES, len(values) - lo)), dtype=np.float32)
+        has[of[a:b], at[a:b] - lo] = 1
+        shared += has @ has.T  # counts below 2^24 are exact
+    linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+    np.fill_diagonal(linked, False)
+    if rows["i"].iat[0] != rows["j"].iat[0]:
+        own = rows["own"].to_numpy()
+        linked &= own[:, None] != own[None, :]
+    out = pd.DataFrame({"sid": rows["sid"].to_numpy(), "links": linked.astype(np.int64) @ rows["set_size"].to_numpy()})
+    return out[out["links"] > 0]
+
+
+def _stream_links(batches, percent: int):
+    """Rows come sorted by group; the last group of a batch waits for the next batch."""
+    held = None
+    for b in batches:
+        if held is not None:
+            b = pd.concat([held, b], ignore_index=True)
+        g = b[_LINK_GROUP].to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1, [len(b)]))
+        for lo, hi in zip(starts[:-2], starts[1:-1], strict=True):
+            yield _block_links(b.iloc[lo:hi], percent)
+        held = b.iloc[starts[-2] :]
+    if held is not None and len(held):
+        yield _block_links(held, percent)
+
+
+_LINK_GROUP = ["cid", "i", "j"]
+
+
+def jaccard_links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: what ``jaccard_components`` gives, and n_links, the number of other documents that it links with."""
+    rows, known, sets = _resolved(documents, k, percent)
+    inside = known.filter("component IS NOT NULL").select("sid", F.col("component").alias("cid"), "set_size")
+    blocks = inside.groupBy("cid").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks"))
+    placed = inside.join(blocks, "cid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("sid", "set_size", "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    gathered = placed.join(sets.dropDuplicates(["sid"]), "sid").repartition(*_LINK_GROUP).sortWithinPartitions(*_LINK_GROUP)
+    links = python_rows(gathered, lambda batches: _stream_links(batches, percent), "sid bigint, links bigint").groupBy("sid").agg(F.sum("links").alias("links"))
+    counted = known.join(links, "sid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("set_size") - 1)
+    return _by_document(rows, counted, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

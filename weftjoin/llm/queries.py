@@ -30,6 +30,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftjoin.llm.jaccard_join import jaccard_links
+
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftjoin.llm.decontaminate import find_contaminated
 
@@ -82,7 +88,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         op1_url_filter, op2_ngram_jaccard, op3_decontamination, op4_token_counts, op5_quality, op6_packing, op7_chat_format, op8_secret_scan,
-        op9_toxicity, op10_near_vectors,
+        op9_toxicity, op10_near_vectors, op2_jaccard_links,
     ]
     return {f.__name__: f for f in own}
 

@@ -31,8 +31,10 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 
-IDENT = r"""(?i)\b(?:access_?key_?id|client_?id|account_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""
-KEY = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
+#: A name may have a prefix that ends in ``_`` or ``-``, as in env files (AWS_ACCESS_KEY_ID=, db_username=).
+IDENT = r"""(?i)(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?id|account|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""
+#: A whole run of the key's alphabet; any other character, as ``=``, ``_`` or punctuation, may be next to it.
+KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"(?i)\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@_-]{3,}"
 SCOPE = 200
 

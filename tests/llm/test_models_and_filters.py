@@ -140,6 +140,15 @@ def test_propagation_against_dense_matrices(spark):
         assert np.allclose([got.get(f"h{i}", (0, 0))[k] for i in range(n)], v)
 
 
+def test_distrust_reaches_as_far_as_it_counts(spark):
+    hop = lambda k: f"h{k}.net" if k else "bad.com"
+    rows = [(k, f"x://{hop(k)}/en/1", f'<a href="//{hop(k - 1)}/">' if k else None, "") for k in range(29)]
+    rows += [(100 + i, f"x://lone{i}.net/", None, "") for i in range(2000)]  # the threshold is 0.25 / 2029
+    got = {r["page_id"]: r for r in url_filter.judge_pages(pages(spark, rows), RULES).collect()}
+    assert all(abs(got[k]["distrust"] - 0.15 * 0.85**k) < 1e-6 for k in range(29))
+    assert all(got[k]["verdict"] == "block" for k in range(29)) and got[100]["verdict"] == "allow"
+
+
 # --- decontamination
 
 

@@ -8,7 +8,8 @@ same against the links from the blocked ones, so it reaches hosts that link to b
 blocked if its distrust exceeds its trust and is at least ``LEAST`` of the even share of all hosts.
 
 Edges are counted per pair of hosts before anything else, so a page's or host's many links shuffle once;
-what an iteration carries is one row per host.
+what an iteration carries is one row per host.  Iterations go on until all mass that is still under way, wherever it may
+arrive, is below ``SETTLED`` of the score that a verdict asks for; their number grows with the logarithm of the number of hosts.
 
 Cases: null urls and urls without ``://`` have empty host and path and pass no links; null html has no links;
 pages are judged row by row, so repeated rows give repeated results; an empty table gives no rows; other
@@ -17,6 +18,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,7 @@ _HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'
 #: Rules are compared one by one in an expression; longer lists belong in a table of their own.
 MOST_RULES = 1000
 LEAST = 0.25
+SETTLED = 0.01
 
 
 @dataclass(frozen=True)
@@ -72,11 +75,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-3) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """(host, trust, distrust) of every host that is a seed or has an edge.
 
     ``seeds`` has (host, allow, block) counts.  Walks that reach a host without onward links end there, as
-    in trust propagation their mass isn't handed back; both scores therefore sum to 1 at most.
+    in trust propagation their mass isn't handed back; both scores therefore sum to 1 at most.  The scores' distance from where they
+tend to, summed over the hosts, is ``tolerance`` at most, unless ``iterations`` are given and end before.
     """
     totals = seeds.agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()
     share = lambda c, n: (F.col(c) / F.lit(float(n or 1)))
@@ -89,6 +93,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     steps = durable(along.unionByName(against))
     if not steps.take(1):
         return scores
+    if iterations is None:  # two scores of mass 1 at most, of which each iteration leaves the damped part
+        iterations = 1 + math.ceil(math.log(tolerance / 2) / math.log(damping)) if 0 < damping < 1 and tolerance < 2 else 1
     for _ in range(iterations):
         passed = steps.join(scores.withColumnRenamed("host", "from"), "from").groupBy(F.col("to").alias("host")).agg(
             F.sum(F.col("trust") * F.col("w") * F.col("forth") * damping).alias("t"), F.sum(F.col("distrust") * F.col("w") * (1 - F.col("forth")) * damping).alias("d")
@@ -99,7 +105,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
         old = scores.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
         moved = fresh.join(old, "host", "full").agg(F.sum(F.abs(zero("trust") - zero("t0")) + F.abs(zero("distrust") - zero("d0"))).alias("x")).first()["x"]
         scores = fresh
-        if (moved or 0.0) < tolerance:
+        if (moved or 0.0) * damping / (1 - damping) <= tolerance:
             break
     return scores
 
@@ -109,8 +115,8 @@ def judge_pages(pages: DataFrame, rules: list[Rule], least: float = LEAST) -> Da
     ruled = with_rules(pages, rules)
     count = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1)).alias(v)
     hosts = durable(ruled.filter("host != ''").groupBy("host").agg(count("allow"), count("block")))
-    scores = propagate(durable(host_edges(pages)), hosts)
     even = 1.0 / max(1, hosts.count())
+    scores = propagate(durable(host_edges(pages)), hosts, tolerance=SETTLED * least * even)
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least * even)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     joined = ruled.join(scores.select("host", "trust", "distrust", F.when(blocked, "block").otherwise("allow").alias("host_verdict")), "host", "left")

@@ -152,6 +152,21 @@ def test_distrust_reaches_as_far_as_it_counts(spark):
 # --- decontamination
 
 
+def test_free_front_of_a_match_is_tiled():
+    item = list(range(20))
+    text = [*item[5:14], 99, *item[0:8]]
+    tiles = decontaminate.greedy_tiles(text, item)
+    assert sorted(tiles) == [(0, 5, 9), (10, 0, 5)]
+
+
+def test_texts_that_share_an_item_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, a), (7, b), (7, b)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["coverage"], r["items"]) for r in decontaminate.find_contaminated(docs, items).collect()}
+    assert got == {i: (True, 1.0, [7]) for i in (1, 2, 3)}
+
+
 def brute_coverage(text, item, least=5):
     """Greedy tiling by trying every pair of positions."""
     free_t, free_i, covered = [True] * len(text), [True] * len(item), 0

@@ -12,12 +12,13 @@ The benchmark is the stated query set.  It is measured first and taken in blocks
 
 Cases: null and empty texts, and items, match nothing; items of fewer than ``least`` words can't be told
 from chance and match nothing; a text of any length is searched whole; repeated rows get equal results;
-ties between items go to the smallest item_id; an empty table on either side is fine; other columns are kept
+ties between items go to the smallest item_id; texts that share an item_id are each searched; an empty table on either side is fine; other columns are kept
 by ``remove_contaminated`` and ignored by ``find_contaminated``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -71,11 +72,16 @@ def greedy_tiles(text: list[int], item: list[int], least: int = LEAST) -> list[t
                     while i + n < len(text) and j + n < len(item) and free_t[i + n] and free_i[j + n] and text[i + n] == item[j + n]:
                         n += 1
                     found.append((-n, i, j))
-        found.sort()
-        for n, i, j in found:
-            if 0 not in free_t[i : i - n] and 0 not in free_i[j : j - n]:
+        heapq.heapify(found)
+        while found:
+            n, i, j = heapq.heappop(found)
+            ends = (free_t.find(0, i, i - n) - i, free_i.find(0, j, j - n) - j)
+            left = min((e for e in ends if e >= 0), default=-n) if free_t[i] and free_i[j] else 0
+            if left == -n:
                 free_t[i : i - n] = free_i[j : j - n] = bytes(-n)
                 tiles.append((i, j, -n))
+            elif left >= size:  # tiles took its end; the free front waits for its turn
+                heapq.heappush(found, (-left, i, j))
         if 1 not in free_i or size == least:
             break
         size = max(least, size // 2)
@@ -83,17 +89,20 @@ def greedy_tiles(text: list[int], item: list[int], least: int = LEAST) -> list[t
 
 
 class Seeds:
-    """A block of the benchmark: the items' words, and from a seed's hash to the items that have it."""
+    """A block of the benchmark: the items' ids and words, and from a seed's hash to the places of the items that have it.
+
+    Texts that share an item_id are items of their own.
+    """
 
     def __init__(self, items: list[tuple[int, str]], least: int):
-        self.least, self.items = least, {}
+        self.least, self.items = least, []
         owners = defaultdict(set)
-        for item_id, text in items:
+        for item_id, text in sorted(set(items)):
             row = words(text)
             if len(row) >= least:
-                self.items.setdefault(item_id, row.tolist())
                 for h in window_hashes(row, least).tolist():
-                    owners[h].add(item_id)
+                    owners[h].add(len(self.items))
+                self.items.append((item_id, row.tolist()))
         self.owners = dict(owners)
         self.known = np.array(sorted(self.owners), dtype=np.uint64)
 
@@ -106,10 +115,10 @@ class Seeds:
         at = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes)
         places = defaultdict(list)
         for i, h in zip(at.tolist(), hashes[at].tolist(), strict=True):
-            for item_id in self.owners[h]:
-                places[item_id].append(i)
+            for k in self.owners[h]:
+                places[k].append(i)
         out = []
-        for item_id, starts in places.items():
+        for k, starts in places.items():
             stretch: list[int] = []  # only stretches under seeds can hold a tile; -1 keeps them apart
             end = -1
             for i in starts:
@@ -118,7 +127,7 @@ class Seeds:
                     end = i
                 stretch.extend(row[end : i + self.least].tolist())
                 end = i + self.least
-            item = self.items[item_id]
+            item_id, item = self.items[k]
             tiles = greedy_tiles(stretch, item, self.least)
             out.append((item_id, sum(n for _, _, n in tiles) / len(item), len(tiles)))
         return out
@@ -142,8 +151,8 @@ def _judged(documents: DataFrame, block: DataFrame, least: int, threshold: float
             rows = []
             for text in b["text"]:
                 found = seeds.value.coverages(text)
-                best = min(found, key=lambda x: (-x[1], x[0]), default=(None, 0.0, 0))
-                over = sorted(i for i, c, _ in found if c >= threshold)
+                best = min(found, key=lambda x: (-x[1], x[0], x[2]), default=(None, 0.0, 0))
+                over = sorted({i for i, c, _ in found if c >= threshold})
                 rows.append((bool(over), best[0], best[1], best[2], over))
             out = pd.DataFrame(rows, columns=["contaminated", "item_id", "coverage", "n_tiles", "items"])
             out["item_id"] = out["item_id"].astype("Int64")

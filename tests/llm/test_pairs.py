@@ -131,6 +131,15 @@ def test_one_document_of_each_component(spark):
     assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "5", "9", "None"]
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a, 1), (1, b, 2), (3, c, 3), (4, c + " d", 4), (4, "e f g", 5), (3, c, 6), (5, None, 7), (5, a + " x", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint")
+    out = jaccard_join.one_of_each(df)
+    got = sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"])
+    assert out.columns == df.columns and got == sorted([(1, a), (1, b), (3, c), (4, "e f g")]) and out.filter("text IS NULL").count() == 1
+
+
 # --- vectors
 
 

@@ -398,15 +398,32 @@ def jaccard_links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
 
 def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document of the smallest doc_id of each component, all columns kept.
+    """One row of each component of sets, that of the smallest (doc_id, set), all columns kept.
 
-    Rows that repeat a doc_id are one document, of which the row with the smallest text stays; rows
-    without a doc_id, which nothing could be compared by, stay.
+    Of rows that have both in common the one with the smallest text stays.  Rows without a set, which link
+    with nothing, and rows without a doc_id stay.
     """
-    found = durable(jaccard_components(documents, k, percent))
-    leads = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = documents.join(leads.select("doc_id"), "doc_id", "left_semi")
-    if leads.filter("n > 1").take(1):
-        lowest = kept.groupBy("doc_id").agg(F.min("text").alias("_lowest"))
-        kept = kept.join(lowest, "doc_id").filter(F.col("text").eqNullSafe(F.col("_lowest"))).drop("_lowest").dropDuplicates(["doc_id"])
-    return kept.select(*documents.columns).unionByName(documents.filter("doc_id IS NULL"))
+    rows, known, _ = _resolved(documents, k, percent)
+    rows = rows.filter("doc_id IS NOT NULL")
+    joined = rows.join(known.select("sid", F.coalesce("component", "sid").alias("component")), "sid")
+    first = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("x")).select("x.doc_id", F.col("x.sid").alias("_set"))
+    bare = rows.filter("n = 0").select("doc_id", F.lit(None).cast("bigint").alias("_set"))
+    leads = durable(first.unionByName(bare))
+    out = documents.filter("doc_id IS NULL")
+    again = durable(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if not again.take(1):
+        return documents.join(leads, "doc_id", "left_semi").unionByName(out)
+
+    def named(batches):
+        for b in batches:
+            ids = [set_id(s) if len(s) else None for s in (shingle_set(x, k) for x in b["text"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "_set": pd.array(ids, dtype="Int64")})
+
+    alike = documents.join(again, "doc_id", "left_semi")
+    sets = durable(python_rows(alike.select("doc_id", "text").distinct(), named, "doc_id bigint, text string, _set bigint"))
+    lowest = sets.join(leads, ["doc_id", "_set"], "left_semi").groupBy("doc_id", "_set").agg(F.min("text").alias("text")).select("doc_id", "text")
+    once = alike.join(lowest, ["doc_id", "text"], "left_semi").dropDuplicates(["doc_id", "text"])
+    d, e = alike.alias("d"), sets.filter("_set IS NULL").alias("e")
+    empty = d.join(e, (F.col("d.doc_id") == F.col("e.doc_id")) & F.col("d.text").eqNullSafe(F.col("e.text")), "left_semi")
+    single = documents.join(again, "doc_id", "left_anti").join(leads, "doc_id", "left_semi")
+    return single.select(*documents.columns).unionByName(once.select(*documents.columns)).unionByName(empty).unionByName(out)

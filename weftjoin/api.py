@@ -11,6 +11,7 @@ from weftjoin.operators import hypercube, native, trie
 from weftjoin.operators.inputs import Options, prepare
 from weftjoin.plans import fjplan
 from weftjoin.plans.ir import Attr, BinaryJoin, Equality, NaryJoin, Node, Project, Scan, equalities_under, flatten
+from weftjoin.plans.plan_json import Profile
 from weftjoin.plans.variables import Variables
 
 STRATEGIES = {"native": native.run, "trie": trie.run, "hypercube": hypercube.run}
@@ -42,6 +43,17 @@ class Query:
         out.minimum = plan.minimum
         return out
 
+    @classmethod
+    def from_profile(cls, profile: Profile, tables: Mapping[str, DataFrame]) -> Query:
+        """The query that a captured profile ran, over ``tables`` by table name: its join tree, filters and minimums."""
+        query, plan = profile.query, profile.plan()
+        out = cls.from_plan(plan, {alias: tables[name] for alias, name in query.tables.items()})
+        for alias, conditions in query.filters.items():
+            for c in conditions:
+                out.where(alias, c)
+        out.project = list(query.minimums)
+        return out
+
     def where(self, binding: str, condition: str | Column | Callable[[DataFrame], Column]) -> Query:
         df = self.tables[binding]
         self.tables[binding] = df.filter(condition(df) if callable(condition) and not isinstance(condition, Column) else condition)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftjoin.api import Query
+from weftjoin.functions import analysis
 from weftjoin.functions import predicates as P
 from weftjoin.operators import graph, inputs, native, trie
 from weftjoin.operators.partitions import partition_counts
@@ -333,3 +334,58 @@ def phase_pivot(spark, d):
     return p.select("l_returnflag", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
 
 
+@_query("SELECT n, n * (n - 1) AS n_edges, n * (n - 1) * n * (n - 1) AS squared, n * (n - 1) * (n - 1) AS n_paths FROM (SELECT unnest(range(3, 100)) AS n)")
+def clique_growth(spark, d):
+    return analysis.clique_growth(spark)
+
+
+@_query("SELECT size::BIGINT AS size, (2 ** p)::BIGINT AS n_lists, size / 2 ** p AS mean_entries FROM (VALUES (1000000), (5000000), (10000000)) AS s(size), (SELECT unnest(range(0, 8)) AS p)")
+def list_fill(spark, d):
+    return analysis.list_fill(spark)
+
+
+#: A log of two queries, one of them with one and with four threads.
+_LOG = """Query: 1a
+Using: 1 threads
+Num Nodes: 2
+Num Atoms: 3 2
+Num Attributes: 4 2
+Num Tuples: 100
+Trie Height: 2
+chunked list building,0.5
+trie building,1.5
+trie intersection,0.25
+trie building,0.5
+Query: 1a
+Using: 4 threads
+chunked list building,0.25
+trie building,0.5
+trie intersection,0.25
+Query: 17e
+Using: 1 threads
+Num Nodes: 1
+Num Atoms: 5
+Num Attributes: 6
+Num Tuples: 7
+Trie Height: 1
+"""
+
+
+def _log(spark) -> DataFrame:
+    return spark.createDataFrame([("run", i, line) for i, line in enumerate(_LOG.splitlines())], "file string, pos int, line string")
+
+
+@_query("SELECT * FROM (VALUES ('1a', 1, 2, '3 2', '4 2'), ('17e', 1, 1, '5', '6')) AS t(query, threads, n_nodes, atoms, attributes)")
+def log_plan_statistics(spark, d):
+    return analysis.plan_statistics(_log(spark)).withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("atoms", "attributes")})
+
+
+@_query("SELECT query, threads, n_tuples::BIGINT AS n_tuples, height FROM (VALUES ('1a', 1, 100, 2), ('17e', 1, 7, 1)) AS t(query, threads, n_tuples, height)")
+def log_trie_heights(spark, d):
+    return analysis.trie_heights(_log(spark))
+
+
+@_query("""SELECT query, threads, operation, ms::DOUBLE AS ms, speedup::DOUBLE AS speedup FROM (VALUES ('1a', 1, 'chunked list building', 500, 1), ('1a', 1, 'GHT building', 2000, 1), ('1a', 1, 'GHT intersection', 250, 1), ('1a', 1, 'total', 2750, 1),
+('1a', 4, 'chunked list building', 250, 8), ('1a', 4, 'GHT building', 500, 16), ('1a', 4, 'GHT intersection', 250, 4), ('1a', 4, 'total', 1000, 11)) AS t(query, threads, operation, ms, speedup)""")
+def log_speedups(spark, d):
+    return analysis.speedups(analysis.phase_times(_log(spark)))

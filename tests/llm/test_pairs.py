@@ -105,24 +105,116 @@ def test_prefix_and_filters():
     assert bool(jaccard_join.could_link(4, 0, 3, 0)) and not bool(jaccard_join.could_link(5, 0, 3, 0)) and not bool(jaccard_join.could_link(100, 30, 100, 0))
 
 
-def test_list_stream_is_the_same_in_any_batches(spark):
+@pytest.mark.parametrize("block", [2, 8, 64])
+def test_lists_give_the_pairs_that_may_link_in_any_batches_and_blocks(monkeypatch, block):
     import pandas as pd
 
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
     rnd = random.Random(9)
-    rows = sorted({(rnd.randrange(6), rnd.randrange(4, 9), rnd.randrange(3), rnd.randrange(30)) for _ in range(160)})
-    df = pd.DataFrame(rows, columns=["token", "n", "pos", "sid"])
+    rows = {(t, f): (t, n := rnd.randrange(4, 90), rnd.randrange(n // 3 + 1), f, n + rnd.choice([0, 0, 5])) for t in (3, -5, 8, 9, 11) for f in range(1, rnd.choice([2, 7, 90]) + 1)}
+    df = pd.DataFrame(sorted(rows.values()), columns=["token", "lo", "pos", "fam", "hi"])
+    compared = []
+    real = jaccard_join.may_link
+    monkeypatch.setattr(jaccard_join, "may_link", lambda *x: compared.append(np.size(x[0])) or real(*x))
 
     def run(cuts):
         parts = list(jaccard_join._list_pairs((df.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(df)], strict=True)), 75))
-        out = pd.concat(parts)
-        pairs, held = out[out["rank"] < 0], out[out["rank"] >= 0]
-        return sorted(map(tuple, pairs[["sid", "other", "n", "m"]].to_numpy())), sorted(map(tuple, held[["token", "sid", "n", "pos", "rank"]].to_numpy()))
+        return sorted({tuple(r) for p in parts for r in p.to_numpy().tolist()})
 
+    want = set()
+    for a in df.itertuples():
+        for b in df.itertuples():
+            if a.token == b.token and a.fam < b.fam and any(bool(jaccard_join.could_link(n, a.pos, m, b.pos)) for n in range(a.lo, a.hi + 1) for m in range(b.lo, b.hi + 1)):
+                want.add((a.fam, b.fam))
     whole = run([])
+    in_lists = sum(k * (k - 1) // 2 for k in df.groupby("token").size())
+    assert want <= set(whole) and (block == 64 or sum(compared) < 0.8 * in_lists)  # whole blocks were skipped
     for cuts in ([1], [2, 3, 4], list(range(1, len(df))), [len(df) // 2]):
         assert run(cuts) == whole
 
 
+def test_entries_that_meet_in_any_batches():
+    import pandas as pd
+
+    rnd = random.Random(2)
+    df = pd.DataFrame(sorted((rnd.randrange(40), i, 9, i % 4, rnd.random() < 0.1) for i in range(60)), columns=["token", "sid", "n", "pos", "hot"])
+    many = df.groupby("token")["sid"].transform("size") > 1
+    want = df[many | df["hot"]]["sid"].tolist()
+    for cuts in ([], [1], list(range(1, 60)), [7, 7, 30]):
+        parts = list(jaccard_join._met(df.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 60], strict=True)))
+        assert [x for p in parts for x in p["sid"]] == want
+
+
+@pytest.mark.parametrize("bases", [1, 32])
+def test_derived_answers_are_those_of_all_pairs(monkeypatch, bases):
+    monkeypatch.setattr(jaccard_join, "BASES", bases)
+    rng = np.random.default_rng(4)
+    cores = [rng.integers(0, 1 << 40, 80, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate((rng.choice(cores[i % 3], 70, replace=False), rng.integers(0, 1 << 40, i % 9, dtype=np.uint64)))) for i in range(60)] + [cores[0][:1]]
+    lists = []
+    real = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, **k: lists.append(len(x)) or real(x, **k))
+    got = jaccard_join.answers(sets)
+    monkeypatch.undo()
+    for i, a in enumerate(sets):
+        assert all(got[i, j] == len(np.intersect1d(a, b)) for j, b in enumerate(sets) if i != j)
+    read = sum(lists)
+    straight = sum(sum(x in set(b.tolist()) for b in sets) for a in sets for x in a.tolist())
+    assert bases == 1 or read < 0.7 * straight  # most lists were not read
+
+
+def test_bitmaps_bound_intersections():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        most, shared = jaccard_join.most_shared(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b)), len(np.intersect1d(a, b))
+        assert shared <= most <= min(len(a), len(b))
+
+
+@pytest.mark.parametrize("never", ["families", "frequent"])
+def test_result_is_the_same_without_families_or_frequent_shingles(spark, monkeypatch, never):
+    """Both only save work."""
+    if never == "families":
+        monkeypatch.setattr(jaccard_join, "_followers", lambda reps, percent: reps.select(reps["sid"].alias("x"), reps["sid"].alias("y")).filter("x < y"))
+    else:
+        monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 10**9)
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(200)]
+    bases = [[rnd.choice(vocabulary) for _ in range(60)] for _ in range(3)]
+    check_jaccard(spark, [edited(rnd, bases[i % 3], i % 5, vocabulary) for i in range(40)] + ["a b"])
+
+
+def test_unlike_sets_that_share_an_id_stay_apart(spark, monkeypatch):
+    one, two = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    ids = frozenset(jaccard_join.set_id(jaccard_join.shingle_set(t)) for t in (one, two))
+    facts, prefixes, fetch = jaccard_join._sets_and_reports, jaccard_join._prefixes, jaccard_join._fetch
+
+    def collide(batches, k):
+        for out in facts(batches, k):
+            yield out.assign(value=out["value"].where(out["n"] != 8, 7))
+
+    monkeypatch.setattr(jaccard_join, "_sets_and_reports", collide)
+    monkeypatch.setattr(jaccard_join, "_prefixes", lambda bs, k, p, f, shared: prefixes(bs, k, p, f, shared | (ids if 7 in shared else shared)))
+    monkeypatch.setattr(jaccard_join, "_fetch", lambda t, r, w, k, shared: fetch(t, r, w, k, shared | (ids if 7 in shared else shared)))
+    df = spark.createDataFrame([(1, one), (2, two), (3, one), (4, two + " c")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_links(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (2, 1)}
+
+
+def test_jaccard_cases(spark):
+    """Empty table, rows without or with equal doc_id, one very long text, columns with clashing names."""
+    schema = "doc_id bigint, text string, n bigint, sid string, value string, fam string"
+    assert jaccard_join.jaccard_links(spark.createDataFrame([], schema)).collect() == []
+    long = " ".join(f"w{i % 7919}x{i % 104729}" for i in range(200_000))
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    rows = [(1, long), (2, long + " end"), (3, a), (3, b), (3, a), (None, b), (None, "q r s"), (4, None)]
+    got = jaccard_join.jaccard_links(spark.createDataFrame([(i, t, 0, "", "", "") for i, t in rows], schema)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in got) == sorted(
+        [("1", 199_996, "1", 1), ("2", 199_997, "1", 1), ("3", 8, "3", 1), ("3", 8, "3", 1), ("3", 8, "3", 1), ("None", 8, "3", 1), ("None", 1, "None", 0), ("4", 0, "4", 0)]
+    )
+
+
 def test_one_document_of_each_component(spark):
     text = "a b c d e f g h i j k"
     rows = [(3, text, 1), (1, text, 2), (2, text + " l", 3), (5, "quite another text of more words", 4), (5, "quite another text of more words", 4), (None, text, 6), (9, None, 7)]

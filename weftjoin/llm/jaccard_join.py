@@ -1,33 +1,32 @@
-r"""N-gram Jaccard join with set-relation skipping, exact, as connected components.
+r"""N-gram Jaccard join with set-relation skipping, exact: classes and numbers of links.
 
 A document's set is its distinct ``k``-word shingles, kept as 64-bit hashes; texts with equal sets are one
-set.  Two sets link when their intersection is at least ``percent`` hundredths of their union.
-
-*Order.*  Shingles are ordered by (frequent or not, hash), and by the prefix principle two sets that link
-share a shingle among the first ``n - ceil(percent * n) + 1`` of each.  Shingles in ``FREQUENT`` of
-the documents or more are frequent: every chunk of the input reports what reaches half that share in it, and what reaches
-half that share over all chunks' reports is kept.  Where chunks are large enough for that half to be three documents, every
-shingle of that share is found, and there are at most twice (mean set size / FREQUENT) of them, so the list can be broadcast.  Any order gives the same result; this one keeps
-passages that many documents share out of the prefixes.
-
-*Block skip.*  The prefixes are an inverted index; each list is sorted by set size, then position.  A list of at most
-``SHORT`` entries gives its pairs of fitting sizes, so no entry more than that many, and the entries that a pair has
-in common are counted: a pair is dropped unless so many are common within the prefixes that the rest could make up for
-what is missing.  A longer list is cut into blocks of a size class whose bounds differ by the factor 100/percent, and a set is
-compared with the leading set of its own block and of the block before; blocks further away are skipped without being looked
-at.  Sizes and positions that rule out a link are dropped before a pair is made.  So the pairs are linear in the entries.
-
-*Derived answers.*  Once a set is linked with another, its component's answers are its own: a pair inside a component is
-never verified, and a list whose sets are all in one component is done.  Per set, the pair with most shared
-entries is verified first; then the pairs left between components; then long lists that still hold several components
-are taken up again with 1, 4, 16, ... further leaders, for pairs between components only, until none is left.  The result
-is that of all pairs; the work follows the number of pairs between unlike sets that share a frequent shingle early in
-their order, that is, of sets which consist of such shingles for the most part.
-
-*Links.*  ``jaccard_links`` also counts every document's links.  Linked sets are in one component, so the components bound
-the search: a component's sets are cut into blocks by size, all pairs of blocks whose sizes may fit are compared by the
-whole sets, and links are counted, not listed.  No answer list of a set is kept or derived from a similar set's: a component
-of c unlike sets takes c^2 / 2 comparisons, at most ``LINK_BLOCK``^2 of them in a group.
+set.  Two sets link when their intersection is at least ``percent`` hundredths of their union.  A set's id has 64 bits; a second
+digest tells whether unlike sets share an id, and then serves as theirs.
+
+*Highly similar sets.*  Every set has a few band keys of minimum hashes.  The set of a band group whose groups are the largest is the leader of
+those that follow it; a leader and its verified followers, which all link with it, are a family.  Sets that found no
+leader try again among what is left while that pays.  A missed follower costs time, never a link.
+
+*Block skip.*  Shingles are ordered by (how frequent, hash), the rare ones first, and by the prefix principle two sets that link share a shingle
+among the first ``n - ceil(percent * n) + 1`` of each.  These prefixes are an inverted index whose entries are families: sizes from and to,
+first position.  A list is sorted by size and position and cut into blocks; two blocks whose sizes and positions rule a link out
+are skipped whole, else the pairs of entries that may link by theirs are candidates.
+
+*Verification.*  Candidates meet bitmaps of their leaders' sets first, which bound the intersection from above, and what may still link
+meets whole sets.  Families whose leaders are too far apart for any of their members to link are dropped by the triangle inequality of
+the Jaccard distance; leaders that link join their families; what stays open between two families is compared member by member.
+
+*Derived answers.*  Inside a class the answers of a set, its intersections with all others, are derived from those of the most
+similar set that was computed before it: only the lists of the shingles that one of both has and the other has not are
+read, and added or taken off.  ``jaccard_links`` does that for every class and counts the links; ``jaccard_components`` only
+where families are left open.  Classes are dealt out as pairs of blocks of at most ``LINK_BLOCK`` sets or ``BLOCK_SHINGLES`` shingles.
+
+*Scale.*  Shingles that reach ``REPORTED`` documents in a chunk of the input are reported, and the most frequent of these, ``MOST_FREQUENT``
+at most, are broadcast and come last in the order, the most frequent last of all, so lists are short but for sets that consist of frequent shingles
+mostly.  Any order gives the same result.  Entries of frequent shingles are spread over ``SALTS`` parts and aggregated by family
+before a list meets in one task.  Candidates within a list of mutually unlike families grow with the square of its
+length, and counting the links of a class of unlike sets with the square of its sets; nothing is capped.
 
 Cases: null and empty texts, and texts without words, have no set and link with nothing; with fewer than ``k``
 words the whole sequence is the one shingle; null doc_id is a row of its own (component null unless linked);
@@ -42,17 +41,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm.components import components
-from weftjoin.llm.support import durable, mix64, python_rows, utf8, window_hashes, words_of
+from weftjoin.llm.support import durable, mix64, python_rows, stored, utf8, window_hashes, words_of
 
 SHINGLE = 5
 PERCENT = 75
-FREQUENT = 0.0005
-CHUNK_SHINGLES = 4_000_000
-SHORT = 128
+#: Shingles that are held at once for the reports, documents of a chunk from which on one is reported, and reports that make it frequent.
+CHUNK_SHINGLES, REPORTED, LEAST_FREQUENT = 4_000_000, 3, 6
+#: Frequent shingles at most (8 bytes each, broadcast), and parts that the entries of one are dealt to.
+MOST_FREQUENT, SALTS = 4_000_000, 64
+#: Band keys of a set, each of two minimum hashes.
+BANDS = 6
+#: Entries of a block of an index list.
+LIST_BLOCK = 64
 #: Ids of documents whose sets are fetched; up to so many (8 bytes each) go to the executors, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Sets of a block of a component, and shingles counted at once, where links are counted.
-LINK_BLOCK, LINK_SHINGLES = 256, 8192
+#: Sets and shingles of a block of a class, and sets whose answers are kept to derive others from.
+LINK_BLOCK, BLOCK_SHINGLES, BASES = 256, 1_000_000, 32
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -60,65 +64,124 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(words_of(utf8(text))[2], k))
 
 
-def set_id(shingles: np.ndarray) -> int:
+def set_id(shingles: np.ndarray, seed: int = 0x6A09E667F3BCC909) -> int:
     """A signed 64-bit digest of a set, independent of order."""
-    total = mix64(shingles + np.uint64(0x6A09E667F3BCC909)).sum(dtype=np.uint64) ^ (np.uint64(len(shingles)) << np.uint64(40))
+    total = mix64(shingles + np.uint64(seed)).sum(dtype=np.uint64) ^ (np.uint64(len(shingles)) << np.uint64(40))
     return int(mix64(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def check_id(shingles: np.ndarray) -> int:
+    return set_id(shingles, 0xBB67AE8584CAA73B)
+
+
+def _named(shingles: np.ndarray, shared_ids: frozenset) -> int:
+    """A set's id; of unlike sets that share one, the second digest."""
+    sid = set_id(shingles)
+    return check_id(shingles) if sid in shared_ids else sid
+
+
 def prefix_length(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle's low bits, in a power of two of at least twice as many bits."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(a: bytes, b: bytes, n: int, m: int) -> int:
+    """No intersection of sets of ``n`` and ``m`` shingles with these bitmaps is larger: bits in common, and what had no bit of its own."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) if len(z) > size else z for z in (x, y))
+    both, own_x, own_y = (int(np.bitwise_count(z).sum()) for z in (x & y, x, y))
+    return min(n, m, both + min(n - own_x, m - own_y))
+
+
+def _band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """``BANDS`` keys of each of some non-empty sets."""
+    values, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    odd = mix64(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    least = [np.minimum.reduceat(values * f, starts) for f in odd]
+    return list(np.stack([mix64(a + (b ^ np.uint64(t))) for t, (a, b) in enumerate(zip(least[::2], least[1::2], strict=True))], axis=1).view(np.int64))
+
+
+_FACTS = "kind int, doc_id bigint, n bigint, value bigint, second bigint, bands array<bigint>, bits binary"
+
+
 def _sets_and_reports(batches, k: int):
-    """Rows (kind 0: doc_id, n, value = set id) and reports (kind 1: n = documents of a chunk, value = shingle frequent in it)."""
-    pool, docs, held = [], 0, 0
+    """Rows (kind 0: doc_id, n, value = set id, second digest, bands, bits) and reports (kind 1: value = shingle, n = documents of a chunk that have it)."""
+    pool, held = [], 0
 
     def report() -> pd.DataFrame:
         values, times = np.unique(np.concatenate(pool), return_counts=True)
-        often = times >= max(3, FREQUENT / 2 * docs)
-        return pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": times[often], "value": values[often].view(np.int64)})
-
-    for b in batches:
-        sizes, ids = [], []
-        for text in b["text"]:
-            s = shingle_set(text, k)
-            sizes.append(len(s))
-            ids.append(set_id(s) if len(s) else 0)
-            pool.append(s)
-            docs, held = docs + 1, held + len(s)
+        often = times >= REPORTED
+        blank = pd.array([None] * int(often.sum()), dtype="Int64")
+        return pd.DataFrame({"kind": 1, "doc_id": blank, "n": times[often], "value": values[often].view(np.int64), "second": blank, "bands": None, "bits": None})
+
+    for whole in batches:
+        for at in range(0, len(whole), 500):
+            b = whole.iloc[at : at + 500]
+            sets = [shingle_set(text, k) for text in b["text"]]
+            full = [s for s in sets if len(s)]
+            keys = iter(_band_keys(full) if full else [])
+            facts = [(len(s), set_id(s), check_id(s), next(keys), bitmap(s)) if len(s) else (0, 0, 0, None, None) for s in sets]
+            n, value, second, bands, bits = zip(*facts, strict=True)
+            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64").to_numpy(), "n": n, "value": value, "second": second, "bands": bands, "bits": bits})
+            pool += full
+            held += sum(n)
             if held >= CHUNK_SHINGLES:
                 yield report()
-                pool, docs, held = [], 0, 0
-        yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "n": sizes, "value": np.array(ids, dtype=np.int64)})
+                pool, held = [], 0
     if pool:
         yield report()
 
 
-def _prefixes(batches, k: int, percent: int, frequent: np.ndarray):
-    """(token, sid, n, pos) of the prefix of every set; sets that a batch has twice are given once."""
+def _prefixes(batches, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], shared_ids: frozenset):
+    """(token, sid, n, pos, hot) of the prefix of every set; sets that a batch has twice are given once."""
+    frequent, steps = frequent
     for b in batches:
-        out, seen = [], set()
+        out, held, seen = [], 0, set()
         for text in b["text"]:
             s = shingle_set(text, k)
-            if not len(s) or (sid := set_id(s)) in seen:
+            if not len(s) or (sid := _named(s, shared_ids)) in seen:
                 continue
             seen.add(sid)
+            m, step = prefix_length(len(s), percent), np.zeros(len(s), dtype=np.uint8)
             if len(frequent):
-                common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                s = np.concatenate((s[~common], s[common]))
-            m = prefix_length(len(s), percent)
-            out.append((s[:m], np.full(m, sid), np.full(m, len(s), dtype=np.int32), np.arange(m, dtype=np.int32)))
-            if sum(len(x[0]) for x in out[-64:]) > 200_000 or len(out) >= 512:
+                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                step = np.where(frequent[at] == s, steps[at], np.uint8(0))
+            early = np.argsort(step, kind="stable")[:m]  # by hash within a step
+            out.append((s[early].view(np.int64), np.full(m, sid), np.full(m, len(s), dtype=np.int32), np.arange(m, dtype=np.int32), step[early] > 0))
+            held += m
+            if held > 100_000:
                 yield _columns(out)
-                out = []
+                out, held = [], 0
         if out:
             yield _columns(out)
 
 
 def _columns(parts: list[tuple]) -> pd.DataFrame:
-    token, sid, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pd.DataFrame({"token": token.view(np.int64), "sid": sid, "n": n, "pos": pos})
+    return pd.DataFrame(dict(zip(("token", "sid", "n", "pos", "hot"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+
+
+def _met(batches):
+    """Of entries sorted by token, those of frequent tokens and those whose token more than one entry has."""
+    last, met = None, False  # the entry that waits for the next batch, and whether one like it was given
+    for b in batches:
+        if not len(b):
+            continue
+        rows = b if last is None else pd.concat([last, b], ignore_index=True)
+        token = rows["token"].to_numpy()
+        same = token[1:] == token[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([met], same)) | rows["hot"].to_numpy()
+        yield rows[keep[:-1].tolist() + [False]][["token", "sid", "n", "pos"]]
+        last, met = rows.iloc[-1:], bool(same[-1]) if len(same) else met
+    if last is not None and (met or last["hot"].iat[0]):
+        yield last[["token", "sid", "n", "pos"]]
 
 
 def could_link(n1, p1, n2, p2, percent: int = PERCENT):
@@ -131,270 +194,342 @@ def could_link(n1, p1, n2, p2, percent: int = PERCENT):
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
-def size_class(n, percent: int = PERCENT):
-    return np.floor(np.log(np.maximum(n, 1)) / -np.log(percent / 100) + 1e-9).astype(np.int64)
-
-
-class _Lists:
-    """Index lists that stream by, sorted by token, n, pos, sid: pairs of short lists; leaders' pairs and the entries of long ones."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.rows = None  # the last list's rows, or of a list that is under way its block leaders
-        self.done = 0  # how many of its rows are done; 0: none, ``rows`` are all of them
-
-    def feed(self, b: pd.DataFrame | None) -> pd.DataFrame:
-        cols = ["token", "sid", "n", "pos"]
-        fresh = np.ones(0 if self.rows is None else len(self.rows), dtype=bool) & (self.done == 0)
-        parts = ([] if self.rows is None else [self.rows]) + ([] if b is None else [b[cols]])
-        if not parts:
-            return pd.DataFrame()
-        rows = pd.concat(parts, ignore_index=True)
-        new = np.concatenate((fresh, np.ones(len(rows) - len(fresh), dtype=bool)))
-        token, sid, n, pos = (rows[c].to_numpy() for c in cols)
-        repeat = np.concatenate(([False], (token[1:] == token[:-1]) & (sid[1:] == sid[:-1])))
-        if repeat.any():  # a set that several batches gave
-            return self._feed(rows[~repeat].reset_index(drop=True), new[~repeat], b is None)
-        return self._feed(rows, new, b is None)
-
-    def _feed(self, rows: pd.DataFrame, new: np.ndarray, last: bool) -> pd.DataFrame:
-        token, sid, n, pos = (rows[c].to_numpy() for c in ("token", "sid", "n", "pos"))
-        starts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1))
-        sizes = np.diff(np.append(starts, len(rows)))
-        going_on = self.done > 0 and not new[0]
-        if not last and sizes[-1] <= SHORT and not (going_on and len(starts) == 1):
-            end, tail = starts[-1], rows.iloc[starts[-1] :]
-        else:
-            end, tail = len(rows), None
-        own = np.repeat(np.arange(len(starts)), sizes)[:end]
-        long = (sizes[own] > SHORT) | ((own == 0) & going_on)
-        kind = size_class(n[:end], self.percent)
-        block = np.concatenate(([True], (own[1:] != own[:-1]) | (kind[1:] != kind[:-1]))) if end else np.zeros(0, dtype=bool)
-        leader = np.maximum.accumulate(np.where(block, np.arange(end), 0))
-        heads = np.flatnonzero(block)
-        rank_of_block = np.cumsum(block) - 1
-        before = np.where(rank_of_block > 0, heads[np.maximum(rank_of_block - 1, 0)], 0)
-        out = []
-        i = np.arange(end)
-
-        def pairs(first: np.ndarray, second: np.ndarray, mark: int) -> None:
-            fits = 100 * n[first] >= self.percent * n[second]  # lists are sorted by size
-            first, second = first[fits], second[fits]
-            ok = could_link(n[first], pos[first], n[second], pos[second], self.percent)
-            if mark == _LEADER:
-                first, second, ok = first[ok], second[ok], ok[ok]
-            if len(first):
-                out.append(pd.DataFrame({"token": 0, "sid": sid[first], "n": n[first], "pos": ok.astype(np.int32), "other": sid[second], "m": n[second], "rank": mark}))
-
-        for lead in (leader, before):
-            take = np.flatnonzero(new[:end] & long & (sid[lead] != sid[:end]) & (own[lead] == own) & (lead < i) & (kind[lead] >= kind - 1))
-            pairs(lead[take], take, _LEADER)
-        short = np.flatnonzero(~long & (sizes[own] > 1))
-        behind = starts[own] + sizes[own] - 1
-        for step in range(1, SHORT):
-            short = short[behind[short] >= short + step]
-            if not len(short):
-                break
-            pairs(short, short + step, _PAIR)
-        offset = np.where(own == 0, self.done - (~new[:end] & (own == 0)).sum(), 0) if going_on and end else np.zeros(end, dtype=np.int64)
-        rank = i - starts[own] + offset
-        held = new[:end] & long
-        out.append(pd.DataFrame({"token": token[i[held]], "sid": sid[i[held]], "n": n[i[held]], "pos": pos[i[held]], "other": 0, "m": 0, "rank": rank[held]}))
-        if tail is not None:
-            self.rows, self.done = tail, 0
-        elif not last:
-            mine = own == own[-1]
-            self.done = int(rank[-1]) + 1
-            self.rows = rows.iloc[np.flatnonzero(block & mine)]
-        return pd.concat(out, ignore_index=True)
-
-
-#: What a row of the list pass is: a pair of a short list, a pair with a leader, or (0 and up) an entry of a long list.
-_PAIR, _LEADER = -1, -2
-_LISTED = "token bigint, sid bigint, n int, pos int, other bigint, m int, rank bigint"
+def may_link(lo1, hi1, p1, lo2, hi2, p2, percent: int = PERCENT):
+    """``could_link`` for some sizes from ``lo`` to ``hi``, and positions from ``p`` on."""
+    sizes = (100 * hi1 >= percent * lo2) & (100 * hi2 >= percent * lo1)
+    return sizes & (100 * hi1 - (100 + percent) * p1 >= percent * lo2) & (100 * hi2 - (100 + percent) * p2 >= percent * lo1)
 
 
 def _list_pairs(batches, percent: int):
-    lists = _Lists(percent)
+    """Candidates (x, y), x < y, of lists that stream by sorted by token, lo, pos."""
+    held = None
     for b in batches:
-        if len(b) and len(out := lists.feed(b)):
-            yield out
-    if len(out := lists.feed(None)):
-        yield out
-
-
-def _candidates(listed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(x, y, hits): pairs that may link, with the entries seen in common.
+        if not len(b):
+            continue
+        rows = b if held is None else pd.concat([held, b], ignore_index=True)
+        token = rows["token"].to_numpy()
+        end = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+        if end:
+            yield from _block_pairs(rows.iloc[:end], percent)
+        held = rows.iloc[end:]
+    if held is not None:
+        yield from _block_pairs(held, percent)
+
+
+def _block_pairs(rows: pd.DataFrame, percent: int):
+    """Candidates of whole lists: blocks of up to ``LIST_BLOCK`` entries of one list, each with itself and those before it that aren't skipped."""
+    token, fam, lo, hi, pos = (rows[c].to_numpy() for c in ("token", "fam", "lo", "hi", "pos"))
+    first = np.concatenate(([True], token[1:] != token[:-1]))
+    start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+    heads = np.flatnonzero((np.arange(len(rows)) - start) % LIST_BLOCK == 0)
+    ends = np.append(heads[1:], len(rows))
+    least, most, front = np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads), np.minimum.reduceat(pos, heads)
+    opening = np.flatnonzero(start[heads] == heads)  # the first block of each list
+    out, made = [], 0
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> int:
+        ok = may_link(lo[i], hi[i], pos[i], lo[j], hi[j], pos[j], percent)
+        if ok.any():
+            a, b = fam[i[ok]], fam[j[ok]]
+            out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+            return int(ok.sum())
+        return 0
+
+    def taken() -> pd.DataFrame:
+        got = np.unique(np.concatenate(out), axis=0)
+        out.clear()
+        return pd.DataFrame({"x": got[:, 0], "y": got[:, 1]})
+
+    at = np.arange(len(rows))  # within blocks, all at once, by distance
+    stop = np.repeat(ends, ends - heads)
+    for step in range(1, LIST_BLOCK):
+        at = at[at + step < stop[at]]
+        if not len(at):
+            break
+        made += pairs(at, at + step)
+        if made > 200_000:
+            yield taken()
+            made = 0
+    for a, b in zip(opening, np.append(opening[1:], len(heads)), strict=True):
+        for j in range(a + 1, b):
+            near = a + np.flatnonzero(may_link(least[a:j], most[a:j], front[a:j], least[j], most[j], front[j], percent))
+            for i in near:
+                x, y = np.arange(heads[i], ends[i]), np.arange(heads[j], ends[j])
+                made += pairs(np.repeat(x, len(y)), np.tile(y, len(x)))
+                if made > 200_000:
+                    yield taken()
+                    made = 0
+    if out:
+        yield taken()
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int, reach: bool = False) -> DataFrame:
+    """Pairs (x, y) of sets that may link by their bitmaps; with ``reach``, of families any members of which may."""
+    side = lambda c: reps.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").filter(F.lit(reach) | (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+    extra = ["radius"] if reach else []
+
+    def run(batches):
+        for b in batches:
+            n, m = b["n_x"].to_numpy(), b["n_y"].to_numpy()
+            o = np.array([most_shared(*row) for row in zip(b["bits_x"], b["bits_y"], n.tolist(), m.tolist(), strict=True)], dtype=np.int64)
+            ok = 100 * o >= percent * (n + m - o)
+            if reach:
+                ok |= _within(n + m - o, o, b["radius"].to_numpy(), percent)
+            yield b[ok][["x", "y", *extra]]
 
-    What two sets have in common up to where the shorter reaching prefix ends was counted, but for entries of long lists; behind that there is at
-    most what either set has behind its own prefix.
-    """
-    swap = F.col("sid") > F.col("other")
-    pick = lambda a, b, name: F.when(swap, F.col(a)).otherwise(F.col(b)).alias(name)
-    ends = [pick("other", "sid", "x"), pick("sid", "other", "y"), pick("m", "n", "nx"), pick("n", "m", "ny")]
-    led = F.max((F.col("rank") == _LEADER).cast("int")).alias("led")
-    seen = listed.filter("rank < 0").groupBy(*ends).agg(F.count("*").alias("hits"), F.max("pos").alias("ok"), led)
-    seen = seen.filter("ok = 1 OR led = 1").drop("ok")
-    unseen = F.lit(0)
-    if held.take(1):
-        long = held.groupBy("sid").agg(F.count("*").alias("n_long"))
-        for c in ("x", "y"):
-            seen = seen.join(long.select(F.col("sid").alias(c), F.col("n_long").alias(f"long_{c}")), c, "left").fillna(0, [f"long_{c}"])
-        unseen = F.least("long_x", "long_y")
-    behind = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1  # noqa: E731  entries behind the prefix
-    enough = (100 + percent) * (F.col("hits") + unseen + F.greatest(behind("nx"), behind("ny"))) >= percent * (F.col("nx") + F.col("ny"))
-    return durable(seen.filter(enough).select("x", "y", "hits"))
-
-
-def _between(pairs: DataFrame, member: DataFrame | None) -> DataFrame:
-    """Of pairs (x, y), those whose ends aren't in one component."""
-    if member is None:
-        return pairs
-    a, b = (member.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("x", "y"))
-    return pairs.join(a, "x", "left").join(b, "y", "left").filter("c_x IS NULL OR c_y IS NULL OR c_x != c_y").drop("c_x", "c_y")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that link, by the whole sets."""
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
-    shared = F.size(F.array_intersect("s_x", "s_y"))
-    counted = both.select("x", "y", shared.alias("o"), (F.size("s_x") + F.size("s_y")).alias("n"))
-    return counted.filter(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return python_rows(both, run, "x bigint, y bigint" + ", radius double" * reach)
 
 
-def _joined(member: DataFrame, more: DataFrame) -> DataFrame:
-    """Components after further links; what is known of a component is one edge for each of its sets."""
-    if not more.take(1):
-        return member
-    return components(member.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+def _within(union, shared, radius, percent: int):
+    """Whether the distance leaves room for a link between members; radius 0 stands for sets without followers."""
+    return (radius > 0) & (1 - shared / union <= 1 - percent / 100 + radius + 1e-9)
 
 
-def _resolved(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, sid), what is known of each set (sid, set_size, component, lowest), and the sets (sid, shingles) that may link."""
-    spark = documents.sparkSession
-    texts = documents.select("doc_id", "text")
-    first = durable(python_rows(texts, lambda bs: _sets_and_reports(bs, k), "kind int, doc_id bigint, n bigint, value bigint"))
-    rows = first.filter("kind = 0").select("doc_id", "n", F.col("value").alias("sid"))
-    n_docs = rows.count()
-    reports = first.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, FREQUENT / 2 * n_docs))
-    frequent = np.sort(reports.select("value").toArrow().column("value").to_numpy().astype(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
-
-    entries = python_rows(texts, lambda bs: _prefixes(bs, k, percent, shared.value), "token bigint, sid bigint, n int, pos int")
-    lists = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
-    listed = durable(python_rows(lists, lambda bs: _list_pairs(bs, percent), _LISTED))
-    held = listed.filter("rank >= 0").select("token", "sid", "n", "pos", "rank")
-    pairs = _candidates(listed, held, percent)
-
-    reps = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("set_size"))
-    wanted = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).unionByName(held.select("sid")).distinct()
-    chosen = durable(wanted.join(reps, "sid").select(F.col("first_id").alias("doc_id")).distinct())
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    t, c = texts.alias("t"), chosen.alias("c")
-    needed = t.join(c, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi").select("t.text")
+def _fetch(documents: DataFrame, reps: DataFrame, wanted: DataFrame, k: int, shared_ids: frozenset) -> DataFrame:
+    """(sid, shingles) of the sets with an id in ``wanted`` (sid)."""
+    chosen = stored(wanted.distinct().join(reps.select("sid", "first_id"), "sid"))
+    asked = chosen.count()
+    ids = chosen.select("first_id").distinct()
+    t, c = documents.select("doc_id", "text").alias("t"), (F.broadcast(ids) if asked <= BROADCAST_IDS else ids).alias("c")
+    found = t.join(c, F.col("t.doc_id").eqNullSafe(F.col("c.first_id")), "left_semi").select("text")
 
     def whole(batches):
         for b in batches:
-            found = [s for s in (shingle_set(x, k) for x in b["text"]) if len(s)]
-            yield pd.DataFrame({"sid": np.array([set_id(s) for s in found], dtype=np.int64), "shingles": [s.view(np.int64) for s in found]})
-
-    sets = durable(python_rows(needed, whole, "sid bigint, shingles array<bigint>"))
-
-    best = pairs.groupBy("y").agg(F.max_by("x", F.struct("hits", "x")).alias("x"))
-    member = components(_verify(best, sets, percent))
-    rest = durable(_between(pairs.join(best, ["x", "y"], "left_anti"), member))
-    member = _joined(member, durable(_verify(rest, sets, percent)))
-
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tried, lead, step = pairs.select("x", "y"), 0, 1
-    while True:
-        held = held.join(member.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        open_lists = held.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("rank").alias("last")).filter((F.col("a") != F.col("b")) & (F.col("last") > lead))
-        held = durable(held.join(open_lists.select("token"), "token", "left_semi"))
-        if not held.take(1):
-            break
-        q = held.filter((F.col("rank") >= lead) & (F.col("rank") < lead + step)).select("token", *[F.col(c).alias(f"q_{c}") for c in ("sid", "n", "pos", "rank", "component")])
-        most = F.least(F.col("n") - F.col("pos"), F.col("q_n") - F.col("q_pos"))
-        met = held.join(q, "token").filter((F.col("rank") > F.col("q_rank")) & (F.col("component") != F.col("q_component")))
-        met = met.filter((100 * F.least("n", "q_n") >= percent * F.greatest("n", "q_n")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("q_n"))))
-        fresh = met.select(F.least("sid", "q_sid").alias("x"), F.greatest("sid", "q_sid").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-        fresh = durable(fresh)
-        member = _joined(member, durable(_verify(fresh, sets, percent)))
-        tried = durable(tried.unionByName(fresh).coalesce(width))
-        held = held.select("token", "sid", "n", "pos", "rank")
-        lead, step = lead + step, step * 4
-
-    known = reps.join(member.withColumnRenamed("id", "sid"), "sid", "left")
-    lowest = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    known = known.join(lowest, "component", "left").select("sid", "set_size", "component", F.coalesce("lowest", "first_id").alias("lowest"))
-    return rows, known, sets
+            sets = [s for s in (shingle_set(x, k) for x in b["text"]) if len(s)]
+            yield pd.DataFrame({"sid": np.array([_named(s, shared_ids) for s in sets], dtype=np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
-
-def _by_document(rows: DataFrame, known: DataFrame, *more) -> DataFrame:
-    out = rows.join(known, (rows["sid"] == known["sid"]) & (rows["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("set_size", F.lit(1)).alias("set_size"), *more)
+    sets = stored(python_rows(found, whole, "sid bigint, shingles array<bigint>"))
+    if sets.count() == asked:
+        return sets
+    return stored(sets.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))  # rows that share a doc_id
 
 
-def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, set_size (documents with an equal set)."""
-    rows, known, _ = _resolved(documents, k, percent)
-    return _by_document(rows, known)
+def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with n (sizes added up) and o (shingles in common)."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("shingles").alias(f"s_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return both.select(*pairs.columns, F.size(F.array_intersect("s_x", "s_y")).alias("o"), (F.size("s_x") + F.size("s_y")).alias("n"))
 
 
-def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of the sets of one pair of blocks, each link counted by the size of the other set: sid, links."""
+def _followers(reps: DataFrame, percent: int) -> DataFrame | None:
+    """(x, y): sets and the leaders that they may link with; no set is in both columns, nor twice in the first."""
+    keyed, found = stored(reps.select("sid", F.posexplode("bands").alias("t", "key"))), None
+    while True:
+        groups = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1")
+        sized = keyed.join(groups, ["t", "key"])
+        central = sized.groupBy("sid").agg(F.sum("size").alias("weight"))
+        keyed = stored(sized.select("sid", "t", "key").join(central, "sid"))
+        leads = keyed.groupBy("t", "key").agg(F.max(F.struct("weight", "sid")).alias("lead")).select("t", "key", "lead.weight", F.col("lead.sid").alias("lead"))
+        votes = keyed.drop("weight").join(leads, ["t", "key"]).filter("sid != lead").groupBy("sid", "lead").agg(F.max("weight").alias("weight"), F.count("*").alias("votes"))
+        tried = stored(votes.groupBy("sid").agg(F.max_by("lead", F.struct("weight", "votes", "lead")).alias("lead")))
+        heads = tried.select(F.col("lead").alias("sid")).distinct()
+        pairs = tried.join(heads, "sid", "left_anti").select(F.col("sid").alias("x"), F.col("lead").alias("y"))
+        fresh = stored(_possible(pairs, reps, percent))
+        found = fresh if found is None else found.unionByName(fresh)
+        many, of = fresh.count(), tried.count()
+        if many * 16 <= of:
+            return found
+        gone = fresh.select(F.col("x").alias("sid")).unionByName(heads)
+        keyed = stored(keyed.drop("weight").join(gone, "sid", "left_anti"))
+
+
+def answers(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersections of all sets with all others, each set's derived from those of a similar one.
+
+    The first set's are counted from the lists of its shingles.  A further set starts from the answers of that
+    earlier one, of up to ``BASES``, with which it has most in common: lists of shingles that it has beyond it are added, lists of those that
+    it lacks are taken off.  If its own lists are shorter than those, it is counted from them and is a base for others.
+    """
+    n = len(sets)
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    place = np.cumsum(times > 1) - 1
+    kept = times[at] > 1  # a shingle of one set alone is in no intersection
+    owner, at, universe = owner[kept], place[at[kept]], int((times > 1).sum())
+    own = np.split(at, np.searchsorted(owner, np.arange(1, n)))
+    lengths = times[times > 1]
+    ends = np.cumsum(lengths)
+    listed = owner[np.argsort(at, kind="stable")]
+
+    def count(elements: np.ndarray) -> np.ndarray:
+        size = lengths[elements]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.bincount(listed[np.repeat(ends[elements] - size, size) + within], minlength=n)
+
+    shared, bases, has = np.zeros((n, n), dtype=np.int64), [], np.zeros(universe, dtype=bool)
+    for i, mine in enumerate(own):
+        if bases:
+            base = max(bases, key=lambda j: shared[j, i])
+            has[own[base]] = True
+            more = mine[~has[mine]]
+            has[own[base]] = False
+            has[mine] = True
+            less = own[base][~has[own[base]]]
+            has[mine] = False
+            if lengths[more].sum() + lengths[less].sum() < lengths[mine].sum():
+                shared[i] = shared[base] + count(more) - count(less)
+                continue
+        shared[i] = count(mine)
+        if len(bases) < BASES:
+            bases.append(i)
+    return shared
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row a row that roots its tree in a spanning forest of the links, itself if it is a root."""
+    root = np.full(len(linked), -1)
+    for r in range(len(linked)):
+        if root[r] < 0:
+            root[r], front = r, [r]
+            while front:
+                near = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
+                root[near] = r
+                front = near.tolist()
+    return root
+
+
+def _class_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of the sets of one pair of blocks, each link counted by the size of the other set, and a spanning forest: sid, links, root."""
     sets = rows["shingles"].tolist()
-    n = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    of, at = np.repeat(np.arange(len(sets)), n)[order], at[order]
-    shared = np.zeros((len(sets), len(sets)))
-    for lo in range(0, len(values), LINK_SHINGLES):
-        a, b = np.searchsorted(at, (lo, lo + LINK_SHINGLES))
-        has = np.zeros((len(sets), min(LINK_SHINGLES, len(values) - lo)), dtype=np.float32)
-        has[of[a:b], at[a:b] - lo] = 1
-        shared += has @ has.T  # counts below 2^24 are exact
+    n, sid = np.array([len(s) for s in sets]), rows["sid"].to_numpy()
+    shared = answers(sets)
     linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
     np.fill_diagonal(linked, False)
     if rows["i"].iat[0] != rows["j"].iat[0]:
         own = rows["own"].to_numpy()
         linked &= own[:, None] != own[None, :]
-    out = pd.DataFrame({"sid": rows["sid"].to_numpy(), "links": linked.astype(np.int64) @ rows["set_size"].to_numpy()})
+    out = pd.DataFrame({"sid": sid, "links": linked.astype(np.int64) @ rows["set_size"].to_numpy(), "root": sid[_roots(linked)]})
     return out[out["links"] > 0]
 
 
+_GROUP = ["cid", "i", "j"]
+
+
 def _stream_links(batches, percent: int):
     """Rows come sorted by group; the last group of a batch waits for the next batch."""
     held = None
     for b in batches:
         if held is not None:
             b = pd.concat([held, b], ignore_index=True)
-        g = b[_LINK_GROUP].to_numpy()
+        g = b[_GROUP].to_numpy()
         starts = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1, [len(b)]))
         for lo, hi in zip(starts[:-2], starts[1:-1], strict=True):
-            yield _block_links(b.iloc[lo:hi], percent)
+            yield _class_links(b.iloc[lo:hi], percent)
         held = b.iloc[starts[-2] :]
     if held is not None and len(held):
-        yield _block_links(held, percent)
+        yield _class_links(held, percent)
 
 
-_LINK_GROUP = ["cid", "i", "j"]
+def _inside(classes: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, links, root) of every pair of blocks of the classes (id, component): all pairs inside them."""
+    inside = classes.select(F.col("id").alias("sid"), F.col("component").alias("cid")).join(reps.select("sid", "n", "set_size"), "sid")
+    blocks = inside.groupBy("cid").agg(F.ceil(F.greatest(F.count("*") / LINK_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = inside.join(blocks, "cid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("sid", "set_size", "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    gathered = placed.join(sets, "sid").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return stored(python_rows(gathered, lambda batches: _stream_links(batches, percent), "sid bigint, links bigint, root bigint"))
+
+
+def _most_frequent(reports: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles with most reports, ``MOST_FREQUENT`` at most, and their steps: quarters of doublings of the reports, from 1."""
+    step = F.greatest(F.floor(4 * F.log2("n")), F.lit(1)).cast("int").alias("step")
+    total = stored(reports.groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_FREQUENT).select("value", step))
+    left, least = MOST_FREQUENT, None
+    for r in sorted(total.groupBy("step").agg(F.count("*").alias("many")).collect(), key=lambda r: -r["step"]):
+        left -= r["many"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8)
+    rows = total.filter(F.col("step") >= least).toArrow()
+    values, steps = rows.column("value").to_numpy().astype(np.int64).view(np.uint64), rows.column("step").to_numpy().astype(np.uint8)
+    order = np.argsort(values)
+    return values[order], steps[order]
+
+
+def _resolved(documents: DataFrame, k: int, percent: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, sid), and what is known of each set: sid, set_size, component (null without links), lowest, and n_links if asked for."""
+    spark = documents.sparkSession
+    texts = documents.select("doc_id", "text")
+    first = stored(python_rows(texts, lambda bs: _sets_and_reports(bs, k), _FACTS))
+    rows = first.filter("kind = 0").select("doc_id", "n", F.col("value").alias("sid"), "second", "bands", "bits")
+
+    def by_set(rows: DataFrame) -> DataFrame:
+        facts = [F.min("doc_id").alias("first_id"), F.count("*").alias("set_size"), F.min("second").alias("low"), F.max("second").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")]
+        return stored(rows.filter("n > 0").groupBy("sid").agg(*facts))
+
+    reps = by_set(rows)
+    shared_ids = frozenset(r["sid"] for r in reps.filter("low != high").select("sid").collect())  # about N^2 / 2^65
+    if shared_ids:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(*shared_ids), F.col("second")).otherwise(F.col("sid")))
+        reps = by_set(rows)
+    rows = rows.select("doc_id", "n", "sid")
+    frequent = spark.sparkContext.broadcast(_most_frequent(first.filter("kind = 1")))
+
+    led = _followers(reps, percent)
+    sets = _fetch(texts, reps, led.select(F.col("x").alias("sid")).unionByName(led.select(F.col("y").alias("sid"))), k, shared_ids)
+    families = stored(_overlap(led, sets).filter(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).withColumn("radius", 1 - F.col("o") / (F.col("n") - F.col("o"))))
+    radius = families.groupBy(F.col("y").alias("fam")).agg(F.greatest(F.max("radius"), F.lit(1e-9)).alias("radius"))
+
+    entries = python_rows(texts, lambda bs: _prefixes(bs, k, percent, frequent.value, shared_ids), "token bigint, sid bigint, n int, pos int, hot boolean")
+    dealt = entries.repartition("token", F.when(F.col("hot"), F.pmod("sid", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("token")
+    met = python_rows(dealt, _met, "token bigint, sid bigint, n int, pos int")
+    met = met.join(families.select(F.col("x").alias("sid"), F.col("y").alias("lead")), "sid", "left").withColumn("fam", F.coalesce("lead", "sid"))
+    lists = met.groupBy("token", "fam").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
+    lists = lists.repartition("token").sortWithinPartitions("token", "lo", "pos", "fam")
+    pairs = python_rows(lists, lambda bs: _list_pairs(bs, percent), "x bigint, y bigint").distinct()
+    for c in ("x", "y"):
+        pairs = pairs.join(radius.select(F.col("fam").alias(c), F.col("radius").alias(f"r_{c}")), c, "left").fillna(0.0, [f"r_{c}"])
+    pairs = stored(pairs.select("x", "y", (F.col("r_x") + F.col("r_y")).alias("radius")))
+    pairs = stored(_possible(pairs, reps, percent, reach=True))
+    ends = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid")))
+    sets = sets.unionByName(_fetch(texts, reps, ends.join(sets.select("sid"), "sid", "left_anti"), k, shared_ids))
+    union = F.col("n") - F.col("o")
+    judged = _overlap(pairs, sets).withColumn("linked", 100 * F.col("o") >= percent * union)
+    near = (F.col("radius") > 0) & (1 - F.col("o") / union <= 1 - percent / 100 + F.col("radius") + 1e-9)
+    judged = stored(judged.filter(F.col("linked") | near).select("x", "y", "linked"))
+
+    edge = lambda df: df.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    sure = edge(families).unionByName(edge(judged.filter("linked")))
+    member = components(sure)
+    left = judged.filter("NOT linked")
+    for c in ("x", "y"):
+        left = left.join(member.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left")
+    left = stored(edge(left.filter("c_x IS NULL OR c_y IS NULL OR c_x != c_y")))
+    is_open = bool(left.take(1))
+    if is_open:  # classes that any link may join
+        wide = components(member.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(left))
+        touched = left.select(F.col("u").alias("id")).unionByName(left.select(F.col("v").alias("id"))).join(wide, "id").select("component").distinct()
+        within = _inside(wide if count_links else wide.join(touched, "component", "left_semi"), reps, sets, percent)
+        member = components(sure.unionByName(within.select(F.col("sid").alias("u"), F.col("root").alias("v"))))
+    elif count_links:
+        within = _inside(member, reps, sets, percent)
+
+    known = reps.select("sid", "first_id", "set_size").join(member.withColumnRenamed("id", "sid"), "sid", "left")
+    lowest = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("lowest"))
+    known = known.join(lowest, "component", "left").select("sid", "set_size", "component", F.coalesce("lowest", "first_id").alias("lowest"))
+    if count_links:
+        known = known.join(within.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")
+        known = known.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("set_size") - 1).drop("links")
+    return rows, known
+
+
+def _by_document(rows: DataFrame, known: DataFrame, *more) -> DataFrame:
+    out = rows.join(known, (rows["sid"] == known["sid"]) & (rows["n"] > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("set_size", F.lit(1)).alias("set_size"), *more)
+
+
+def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, set_size (documents with an equal set)."""
+    return _by_document(*_resolved(documents, k, percent, count_links=False))
 
 
 def jaccard_links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: what ``jaccard_components`` gives, and n_links, the number of other documents that it links with."""
-    rows, known, sets = _resolved(documents, k, percent)
-    inside = known.filter("component IS NOT NULL").select("sid", F.col("component").alias("cid"), "set_size")
-    blocks = inside.groupBy("cid").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks"))
-    placed = inside.join(blocks, "cid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("sid", "set_size", "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    gathered = placed.join(sets.dropDuplicates(["sid"]), "sid").repartition(*_LINK_GROUP).sortWithinPartitions(*_LINK_GROUP)
-    links = python_rows(gathered, lambda batches: _stream_links(batches, percent), "sid bigint, links bigint").groupBy("sid").agg(F.sum("links").alias("links"))
-    counted = known.join(links, "sid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("set_size") - 1)
-    return _by_document(rows, counted, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return _by_document(*_resolved(documents, k, percent, count_links=True), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -403,7 +538,7 @@ def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     Of rows that have both in common the one with the smallest text stays.  Rows without a set, which link
     with nothing, and rows without a doc_id stay.
     """
-    rows, known, _ = _resolved(documents, k, percent)
+    rows, known = _resolved(documents, k, percent, count_links=False)
     rows = rows.filter("doc_id IS NOT NULL")
     joined = rows.join(known.select("sid", F.coalesce("component", "sid").alias("component")), "sid")
     first = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("x")).select("x.doc_id", F.col("x.sid").alias("_set"))

@@ -15,9 +15,9 @@ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
 linked AS (SELECT a, b, o, p.n AS na, q.n AS nb FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * o >= {jaccard_join.PERCENT} * (p.n + q.n - o)),
 edges AS (SELECT a, b FROM linked), ids AS (SELECT doc_id AS id FROM documents),
-equal AS (SELECT a, count(*) AS n FROM linked WHERE o = na AND o = nb GROUP BY a), {_CLOSURE}
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, (coalesce(e.n, 0) + 1)::BIGINT AS set_size
-FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN lowest c ON d.doc_id = c.id LEFT JOIN equal e ON d.doc_id = e.a"""
+equal AS (SELECT a, count(*) AS n FROM linked WHERE o = na AND o = nb GROUP BY a), degree AS (SELECT a, count(*) AS n FROM linked GROUP BY a), {_CLOSURE}
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, (coalesce(e.n, 0) + 1)::BIGINT AS set_size, coalesce(g.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN lowest c ON d.doc_id = c.id LEFT JOIN equal e ON d.doc_id = e.a LEFT JOIN degree g ON d.doc_id = g.a"""
 
 VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 good AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),

@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
+    """The folder all machines share: ``spark.checkpoint.dir``; on one machine a local one where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftjoin-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -43,6 +45,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``durable`` as a table of columns, for rows that are read in part or joined more than once."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application; Spark serves the archive to them."""
     sc = spark.sparkContext

@@ -4,7 +4,8 @@ from collections import Counter
 import pytest
 
 from weftjoin.api import STRATEGIES, Query
-from weftjoin.operators import trie
+from weftjoin.operators import auto, hypercube, native, trie
+from weftjoin.operators.inputs import Input
 from weftjoin.plans import fjplan, leftmost
 
 
@@ -86,11 +87,75 @@ def test_random_queries_agree_across_strategies(spark, seed):
             assert build(strategy=strategy, leftmost=rule) == want
 
 
-def test_large_groups_fall_back(spark, monkeypatch):
-    monkeypatch.setattr(trie, "LARGEST_GROUP", 1)
-    t = {"r": frame(spark, "a", [(1,)]), "s": frame(spark, "a", [(1,), (1,)])}
-    assert bag(Query(t).join("r.a=s.a").select("s.a").plan(strategy="trie").to_df()) == {(1,): 2}
-    assert trie.largest_group(t["s"], ["a"]) == 2
+def test_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(trie, "LARGEST_GROUP", 2)
+    t = {"r": frame(spark, "a", [(1,), (2,)]), "s": frame(spark, "a b", [(1, i % 3) for i in range(40)] + [(2, 5)])}
+    assert trie.build(t["s"], [["a"]], ["b"]).count() == 2
+    parts = trie.build(t["s"], [["a"]], ["b"], largest=2).collect()
+    assert len(parts) > 10 and sum(len(r["rest"]) for r in parts) == 41
+    assert bag(Query(t).join("r.a=s.a").select("s.a", "s.b").plan(strategy="trie").to_df()) == Counter([(1, i % 3) for i in range(40)] + [(2, 5)])
+
+
+def test_kinds_of_plans_differ(spark):
+    """Orders of the inputs, and by its reducers also the plan that Catalyst gets, for each kind."""
+    t = {b: frame(spark, c, [(i, i)[: len(c.split())] if len(c.split()) < 3 else (i, i, i) for i in range(3)]) for b, c in {"l": "o s", "s": "s n", "c": "c n", "o": "o c", "n": "n"}.items()}
+    build = lambda **o: Query(t).join("l.s=s.s", "s.n=c.n", "l.o=o.o", "c.c=o.c", "s.n=n.n").select("l.o", "n.n").plan(leftmost="default", **o)
+    orders, plans = {}, {}
+    for kind in fjplan.KINDS:
+        q = build(kind=kind)
+        join, p = q.fj_plans()[-1]
+        inputs = [Input(t[b.binding], tuple(q.variables.among([b.binding])), ()) for b in join.inputs]
+        orders[kind] = native.probe_order(p, inputs)
+        steps = []
+        real = native.semi_reduce
+        native.semi_reduce = lambda df, bound, others: steps.append((sorted(bound), [o.variables for o in others])) or real(df, bound, others)
+        try:
+            assert bag(build(kind=kind, strategy="reduced").to_df()) == bag(q.to_df()) == {(i, i): 1 for i in range(3)}
+        finally:
+            native.semi_reduce = real
+        plans[kind] = str((orders[kind], steps))
+    assert orders == {"fully_active": [0, 1, 3, 2, 4], "canonical": [0, 1, 2, 3, 4], "active": [0, 1, 2, 3, 4], "factored": [0, 1, 4, 2, 3]}
+    assert len(set(plans.values())) >= 3 and all(plans[k] != str((orders[k], [])) for k in ("fully_active", "factored"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_factorised_counts_and_minimums(spark, seed):
+    rnd = random.Random(seed)
+    value = lambda: rnd.choice([None, 0, 1, 2, 3])
+    t = {b: frame(spark, "p q", [(value(), value()) for _ in range(rnd.randrange(0 if seed == 3 else 4, 14))]) for b in "abcd"}
+    equalities = [["a.p=b.p", "b.q=c.p", "c.q=d.p"], ["a.p=b.p", "b.q=c.p", "c.q=a.q", "c.q=d.p"], ["a.p=b.p", "c.p=d.p"], ["a.p=b.p", "a.p=c.p", "a.q=d.p"]][seed]
+    q = Query(t, ("a", "b", ("c", "d"))).join(*equalities)
+    rows = q.select("a.p", "b.q", "c.q", d="d.q").plan(leftmost="default").to_df().collect()
+    assert q.count().first()["n"] == len(rows)
+    m = Query(t, ("a", "b", ("c", "d"))).join(*equalities).min("a.p", "b.q", d="d.q")
+    least = lambda c: min((r[c] for r in rows if r[c] is not None), default=None)
+    assert [tuple(r) for r in m.factorised().collect()] == [(least("p"), least(1), least("d"))] == [tuple(r) for r in m.to_df().collect()]
+
+
+def test_auto_asks_the_bound(spark):
+    e = spark.range(5).selectExpr("id AS x", "id AS y")
+    of = lambda rows, *variables: Input(e, variables, ())
+    plan = Query({"a": e, "b": e, "c": e}).join("a.y=b.x", "b.y=c.x", "c.y=a.x").fj_plans()[0][1]
+    inputs = [of(0, 2, 0), of(0, 0, 1), of(0, 1, 2)]
+    assert auto.choice(plan, inputs) == "native"  # small
+    real = auto.estimated_bytes
+    auto.estimated_bytes = lambda df: 32 * 10**7
+    try:
+        assert auto.choice(plan, [Input(frame(spark, "x y", []), i.variables, ()) for i in inputs]) == "hypercube"
+        auto.estimated_bytes = lambda df: 1 << 62
+        assert auto.choice(plan, inputs) == "native"
+        auto.estimated_bytes = lambda df: 32 * 10**7
+        assert auto.choice(plan, inputs) == "hypercube" and auto.choice(plan, [of(0, 0, 1), of(0, 1), of(0, 1, 2)]) == "native"
+    finally:
+        auto.estimated_bytes = real
+
+
+def test_shares_follow_sizes():
+    i = [Input(None, v, ()) for v in ((0, 1), (1, 2), (0, 2))]
+    assert hypercube.shares([0, 1, 2], i, [1, 1, 1], 64) == {0: 4, 1: 4, 2: 4}
+    small = hypercube.shares([0, 1, 2], i, [1000, 1, 1], 64)
+    assert small[2] == 1 and small[0] * small[1] == 64  # the large input is sent once
+    assert hypercube.cells_for([1]) == hypercube.FEWEST and hypercube.cells_for([hypercube.CELL_BYTES * 100]) == 256
 
 
 def test_explain(spark):

@@ -7,14 +7,14 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftjoin.operators import hypercube, native, trie
-from weftjoin.operators.inputs import Options, prepare
+from weftjoin.operators import auto, factorised, hypercube, native, trie
+from weftjoin.operators.inputs import Options, prepare, scan
 from weftjoin.plans import fjplan
 from weftjoin.plans.ir import Attr, BinaryJoin, Equality, NaryJoin, Node, Project, Scan, equalities_under, flatten
-from weftjoin.plans.plan_json import Profile
+from weftjoin.plans.plan_json import Profile, scans
 from weftjoin.plans.variables import Variables
 
-STRATEGIES = {"native": native.run, "trie": trie.run, "hypercube": hypercube.run}
+STRATEGIES = {"native": native.run, "reduced": native.reduced, "trie": trie.run, "hypercube": hypercube.run, "auto": auto.run}
 
 Shape = str | tuple
 
@@ -110,6 +110,16 @@ class Query:
         visit(self.tree())
         return out
 
+    def factorised(self, count: str | None = None) -> DataFrame:
+        """The minimums, or the number of rows under the name ``count``, from reduced inputs; the join's rows are never made.
+
+        An inner join is the same in any order, so nested joins are taken apart and the inputs joined as they stand.
+        """
+        variables, wanted = self.variables, set() if count else {a for a, _ in self.project}
+        inputs = [scan(self.tables[s.binding], s.binding, variables, wanted) for s in scans(self._binary(self.shape))]
+        out = factorised.aggregate(inputs, list(range(len(inputs))), counted=count is not None)
+        return out.select(F.col(factorised.COUNT).alias(count)) if count else out.select(*[F.col(a.column).alias(n) for a, n in self.project])
+
     def to_df(self) -> DataFrame:
         wanted = {a for a, _ in self.project}
         result = prepare(self.tree(), self.tables, self.variables, wanted, self.options, STRATEGIES[self.options.strategy])
@@ -118,7 +128,9 @@ class Query:
         return result.df.select(*[F.col(a.column).alias(n) for a, n in self.project])
 
     def count(self, name: str = "n") -> DataFrame:
-        """The number of rows, repetitions included."""
+        """The number of rows, repetitions included; by ``factorised`` unless another strategy than ``native`` or ``auto`` is asked for."""
+        if self.options.strategy in ("native", "auto"):
+            return self.factorised(name)
         return prepare(self.tree(), self.tables, self.variables, set(), self.options, STRATEGIES[self.options.strategy]).df.agg(F.count(F.lit(1)).alias(name))
 
     def explain_fj(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -164,16 +165,28 @@ def _by_rule(rule: str, name: str) -> None:
         return _star(spark, d).select(*_STAR_COLUMNS).plan(leftmost=rule).to_df()
 
 
-def _by_kind(kind: str, name: str) -> None:
-    @_query(_STAR_ROWS, name)
+_LOCAL = """FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN customer c ON s.s_nationkey = c.c_nationkey
+JOIN orders o ON l.l_orderkey = o.o_orderkey AND c.c_custkey = o.o_custkey JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE l.l_quantity > 49 AND l.l_discount < 0.03 AND c.c_acctbal > 8000"""
+
+
+def local_trade(spark, d) -> Query:
+    """Suppliers, customers and orders of one nation: cyclic, and each kind of plan meets the inputs in an order or in nodes of its own."""
+    q = Query(_of(spark, d, l="lineitem", s="supplier", c="customer", o="orders", n="nation")).where("l", "l_quantity > 49 AND l_discount < 0.03").where("c", "c_acctbal > 8000")
+    return q.join("l.l_suppkey = s.s_suppkey", "s.s_nationkey = c.c_nationkey", "l.l_orderkey = o.o_orderkey", "c.c_custkey = o.o_custkey", "s.s_nationkey = n.n_nationkey")
+
+
+def _by_kind(kind: str, strategy: str, name: str) -> None:
+    @_query(f"SELECT l.l_linenumber, o.o_orderkey, s.s_suppkey, c.c_custkey, n.n_name {_LOCAL}", name)
     def run(spark, d):
-        return _star(spark, d).select(*_STAR_COLUMNS).plan(kind=kind).to_df()
+        q = local_trade(spark, d).select("l.l_linenumber", "o.o_orderkey", "s.s_suppkey", "c.c_custkey", "n.n_name")
+        return q.plan(kind=kind, leftmost="default", strategy=strategy).to_df()
 
 
 for _rule in ("smart", "default", "largest", "median"):
     _by_rule(_rule, f"fj_{_rule}")
 for _kind in ("canonical", "active", "fully_active", "factored"):
-    _by_kind(_kind, f"plan_{_kind}")
+    _by_kind(_kind, "native", f"plan_{_kind}")
+    _by_kind(_kind, "reduced", f"plan_{_kind}_reduced")
 
 _CHAIN = """FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN customer c ON n.n_nationkey = c.c_nationkey
 JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE r.r_name = 'ASIA' AND l.l_quantity > 45"""
@@ -220,6 +233,22 @@ def _cycle_by(strategy: str, name: str) -> None:
 _cycle_by("native", "join_cyclic")
 _cycle_by("trie", "join_cyclic_trie")
 _cycle_by("hypercube", "join_cyclic_hypercube")
+_cycle_by("auto", "join_cyclic_auto")
+
+#: A skewed graph: products of remainders, so some vertices have many edges.
+_EDGES = "SELECT DISTINCT (l_suppkey % 100) * (l_suppkey % 7) % 100 AS x, (l_partkey % 100) * (l_partkey % 11) % 100 AS y FROM lineitem WHERE l_quantity > 40"
+
+
+def _triangles_by(strategy: str, name: str) -> None:
+    @_query(f"WITH e AS ({_EDGES}) SELECT a.x, a.y, b.y AS z FROM e a JOIN e b ON a.y = b.x JOIN e c ON b.y = c.x AND c.y = a.x", name)
+    def run(spark, d):
+        mixed = lambda c, m: (F.col(c) % 100) * (F.col(c) % m) % 100
+        e = _t(spark, d, "lineitem").filter("l_quantity > 40").select(mixed("l_suppkey", 7).alias("x"), mixed("l_partkey", 11).alias("y")).distinct()
+        return Query({"a": e, "b": e, "c": e}).join("a.y = b.x", "b.y = c.x", "c.y = a.x").select("a.x", "a.y", z="b.y").plan(strategy=strategy).to_df()
+
+
+for _strategy in ("native", "reduced", "trie", "hypercube", "auto"):
+    _triangles_by(_strategy, f"join_triangle_{_strategy}")
 
 
 @_query("SELECT n1.n_name AS supplier_nation, n2.n_name AS customer_nation, s.s_suppkey, c.c_custkey FROM nation n1 JOIN supplier s ON n1.n_nationkey = s.s_nationkey JOIN nation n2 ON n1.n_regionkey = n2.n_regionkey JOIN customer c ON n2.n_nationkey = c.c_nationkey WHERE s.s_acctbal > 9000 AND c.c_acctbal > 9000")
@@ -244,9 +273,14 @@ def min_empty_is_null(spark, d):
     return Query(_of(spark, d, c="customer", o="orders")).where("o", "o_orderkey < 0").join("c.c_custkey = o.o_custkey").min("c.c_name", "o.o_totalprice").to_df()
 
 
-@_query("SELECT min(l.l_extendedprice) AS min_l_extendedprice FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey")
+@_query(_STAR_MIN)
 def min_factorized(spark, d):
-    return trie.factorised_min(_t(spark, d, "lineitem"), ["l_orderkey"], "l_extendedprice", _t(spark, d, "orders"), ["o_orderkey"])
+    return _star(spark, d).min("c.c_name", "s.s_name", "p.p_name").factorised()
+
+
+@_query(f"SELECT count(*) AS n {_CYCLE}")
+def count_factorized(spark, d):
+    return _cycle(spark, d).count()
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49) AND EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal > 9000)")
@@ -298,10 +332,11 @@ def plan_stats(spark, d):
 # --- analysis kernels
 
 
-@_query()
+@_query("""SELECT shape, size, round(exact, 9) AS log10_bound FROM (SELECT shape, n::INT AS size, 3.0 * CASE shape WHEN 'clique' THEN n / 2 WHEN 'cycle' THEN n / 2 WHEN 'star' THEN n ELSE n / (n - 1) END AS exact
+FROM (VALUES ('clique'), ('cycle'), ('star'), ('loomis_whitney')) AS s(shape), (VALUES (3), (4), (5)) AS t(n))""")
 def agm_bound(spark, d):
-    rows = [(shape, n, float(agm.bound(f(n), [1000] * len(f(n))))) for shape, f in agm.SHAPES.items() for n in (3, 4, 5)]
-    return spark.createDataFrame(rows, "shape string, size int, bound double")
+    rows = [(shape, n, round(math.log10(agm.bound(f(n), [1000] * len(f(n)))), 9)) for shape, f in agm.SHAPES.items() for n in (3, 4, 5)]
+    return spark.createDataFrame(rows, "shape string, size int, log10_bound double")
 
 
 _TRADE = "SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE o.o_orderpriority = '1-URGENT' AND l.l_quantity > 48"

@@ -2,7 +2,9 @@
 
 Each variable gets a share, and a row goes to the cells that agree with the hashes of its variables, once
 for every value of the shares that it doesn't have.  A result's rows meet in exactly one cell.  It pays
-off for cyclic queries whose intermediate results outgrow their output, which the cover bound tells.
+off for cyclic queries whose intermediate results outgrow their output; strategy ``auto`` asks the cover bound for that.
+Shares are chosen by the sizes of the inputs, and there are as many cells as keep one near ``CELL_BYTES``; an input
+without a shared variable's share is repeated, so a small one costs little and a large one gets the shares.
 """
 
 from __future__ import annotations
@@ -18,18 +20,29 @@ from weftjoin.operators import native
 from weftjoin.operators.inputs import Input, merged, var
 from weftjoin.plans import agm
 from weftjoin.plans.fjplan import FJPlan
+from weftjoin.sources.catalog import estimated_bytes
 
-CELLS = 64
+#: Bytes of input that a cell should have, by Catalyst's estimates, and the fewest and most cells.
+CELL_BYTES, FEWEST, MOST = 64 << 20, 8, 1 << 20
 
 
-def shares(variables: list[int], inputs: list[Input], cells: int = CELLS) -> dict[int, int]:
-    """Equal powers of two over the variables that at least two inputs have, with at most ``cells`` cells."""
+def cells_for(sizes: list[int]) -> int:
+    """A power of two of cells; each input is repeated, so twice its bytes are reckoned."""
+    return min(MOST, max(FEWEST, 1 << math.ceil(math.log2(max(1, 2 * sum(sizes) / CELL_BYTES)))))
+
+
+def shares(variables: list[int], inputs: list[Input], sizes: list[int], cells: int) -> dict[int, int]:
+    """Powers of two over the variables that at least two inputs have, ``cells`` in all: each doubling goes where the rows sent out grow least."""
     joint = [v for v in variables if sum(v in i.variables for i in inputs) > 1]
-    bits = int(math.log2(cells))
-    each = {v: 0 for v in joint}
-    for k in range(bits if joint else 0):
-        each[joint[k % len(joint)]] += 1
-    return {v: 1 << b for v, b in each.items()}
+    share = dict.fromkeys(joint, 1)
+
+    def sent(share: dict[int, int]) -> float:
+        return sum(n * math.prod(s for v, s in share.items() if v not in i.variables) for n, i in zip(sizes, inputs, strict=True))
+
+    for _ in range(int(math.log2(cells)) if joint else 0):
+        best = min(joint, key=lambda v: (sent(share | {v: 2 * share[v]}), share[v], v))
+        share[best] *= 2
+    return share
 
 
 def _celled(i: Input, share: dict[int, int]) -> Input:
@@ -57,14 +70,15 @@ def _connected(inputs: list[Input], order: list[int]) -> bool:
     return True
 
 
-def run(plan: FJPlan, inputs: list[Input], cells: int = CELLS) -> Input:
+def run(plan: FJPlan, inputs: list[Input], cells: int | None = None) -> Input:
     edges = [frozenset(i.variables) for i in inputs]
     if len(inputs) < 3 or not all(edges) or agm.is_acyclic(edges) or not _connected(inputs, native.probe_order(plan, inputs)):
         return native.run(plan, inputs)
     variables, payload = merged(inputs)
     if any(len({dict(i.df.dtypes)[var(v)] for i in inputs if v in i.variables}) > 1 for v in variables):
         return native.run(plan, inputs)  # keys of different types are compared by Catalyst's rules
-    share = shares(list(variables), inputs, cells)
+    sizes = [max(1, estimated_bytes(i.df)) for i in inputs]
+    share = shares(list(variables), inputs, sizes, cells or cells_for(sizes))
     order = native.probe_order(plan, inputs)
     parts = [_celled(i, share) for i in inputs]
     tagged = None

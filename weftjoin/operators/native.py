@@ -35,10 +35,19 @@ def join_pair(left: DataFrame, bound: set[int], right: Input) -> DataFrame:
     return left.join(renamed, on, "inner").drop(*[f"r_{var(v)}" for v in shared])
 
 
-def run(plan: FJPlan, inputs: list[Input]) -> Input:
+def run(plan: FJPlan, inputs: list[Input], reduce: bool = False) -> Input:
+    """With ``reduce``, a node's probes filter the rows before any of its joins can multiply them."""
     order = probe_order(plan, inputs)
     df, bound, later = inputs[0].df, set(inputs[0].variables), []
+    ahead: dict[int, list[int]] = {}  # by the first input that a node brings in, all that it brings in
+    seen = {order[0]}
+    for node in plan.nodes:
+        if new := [s for s in dict.fromkeys(a.source for a in node) if s not in seen]:
+            ahead[min(new, key=order.index)] = new
+            seen |= set(new)
     for i in order[1:]:
+        if reduce and len(probes := [p for p in ahead.get(i, []) if bound & set(inputs[p].variables)]) > 1:
+            df = semi_reduce(df, bound, [inputs[p] for p in probes])
         if bound & set(inputs[i].variables):
             df = join_pair(df, bound, inputs[i])
             bound |= set(inputs[i].variables)
@@ -53,6 +62,11 @@ def run(plan: FJPlan, inputs: list[Input]) -> Input:
     return Input(df, variables, payload)
 
 
+def reduced(plan: FJPlan, inputs: list[Input]) -> Input:
+    """Strategy ``reduced``: ``native`` with the probes of each node ahead of its joins, for joins that multiply rows most of which a later input drops."""
+    return run(plan, inputs, reduce=True)
+
+
 def semi_reduce(df: DataFrame, bound: set[int], others: list[Input]) -> DataFrame:
     """``df`` without rows that some other input has no match for: a reducer ahead of joins that multiply rows."""
     for o in others:

@@ -6,13 +6,13 @@ rows.  A node opens one level of the inputs that it concerns: the cover is explo
 narrowed to the entry with the same key.  Leaves are exploded last, so repeated combinations come out as
 often as in a chain of joins.
 
-A group is one row, so this is for keys of moderate groups; ``largest_group`` measures, and inputs with a
-larger group are joined natively.
+A group is one row, so a group of more than ``LARGEST_GROUP`` rows is split into several rows of that size
+at most in the mean; a join adds up over them, so nothing else changes.  Planning starts no job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftjoin.operators import native
@@ -22,19 +22,23 @@ from weftjoin.plans.fjplan import FJPlan
 LARGEST_GROUP = 100_000
 
 
-def build(df: DataFrame, levels: list[list[str]], payload: list[str]) -> DataFrame:
-    """Key columns of the first level and ``rest``: an array of structs per level, then of payload structs."""
+def build(df: DataFrame, levels: list[list[str]], payload: list[str], largest: int | None = None) -> DataFrame:
+    """Key columns of the first level and ``rest``: an array of structs per level, then of payload structs.
+
+    With ``largest``, first-level keys of more rows have several rows; the count shares the shuffle that groups the rows.
+    """
+    part = []
+    if largest is not None:
+        rows = F.count(F.lit(1)).over(Window.partitionBy(*levels[0]))
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([*(c for level in levels for c in level), *payload])], F.monotonically_increasing_id())
+        df, part = df.withColumn("_rows", rows).withColumn("_part", F.pmod(spread, F.ceil(F.col("_rows") / largest))).drop("_rows"), ["_part"]
     leaf = F.struct(*map(F.col, payload)) if payload else F.struct(F.lit(1).alias("one"))
     for depth in range(len(levels) - 1, -1, -1):
-        keys = [c for level in levels[: depth + 1] for c in level]
+        keys = [*part, *(c for level in levels[: depth + 1] for c in level)]
         source = F.collect_list(leaf).alias("rest")
         df = df.groupBy(*keys).agg(source)
         leaf = F.struct(*map(F.col, levels[depth]), F.col("rest"))
-    return df
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return df.drop(*part)
 
 
 def _narrowed(entries: Column, keys: list[str]) -> Column:
@@ -49,13 +53,14 @@ def _narrowed(entries: Column, keys: list[str]) -> Column:
     return F.get(F.filter(entries, same), F.lit(0))["rest"]
 
 
-def run(plan: FJPlan, inputs: list[Input], largest: int = LARGEST_GROUP) -> Input:
+def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
     levels = plan.trie_levels()
     usable = [i for i in range(1, len(inputs)) if i in levels and all(levels[i])]
     complete = all({v for level in levels.get(i, []) for v in level} == set(inputs[i].variables) for i in usable)
-    if len(usable) < len(inputs) - 1 or not complete or any(largest_group(inputs[i].df, [var(v) for v in levels[i][0]]) > largest for i in usable):
+    if len(usable) < len(inputs) - 1 or not complete:
         return native.run(plan, inputs)
-    tries = {i: build(inputs[i].df, [[var(v) for v in level] for level in levels[i]], [a.column for a in inputs[i].payload]) for i in usable}
+    largest = LARGEST_GROUP if largest is None else largest
+    tries = {i: build(inputs[i].df, [[var(v) for v in level] for level in levels[i]], [a.column for a in inputs[i].payload], largest) for i in usable}
     df, depth = inputs[0].df, dict.fromkeys(usable, 0)
     for node in plan.nodes:
         if 0 not in (a.source for a in node):
@@ -88,8 +93,8 @@ def run(plan: FJPlan, inputs: list[Input], largest: int = LARGEST_GROUP) -> Inpu
 
 
 def smaller_first(a: Column, b: Column) -> Column:
-    """Common elements of two arrays, row by row iterating the smaller and probing the larger: the cover choice at run time."""
-    return F.when(F.size(a) <= F.size(b), F.filter(a, lambda x: F.array_contains(b, x))).otherwise(F.filter(b, lambda x: F.array_contains(a, x)))
+    """Distinct common elements of two arrays, row by row iterating the smaller against a hash of the larger: the cover choice at run time."""
+    return F.when(F.size(a) <= F.size(b), F.array_intersect(a, b)).otherwise(F.array_intersect(b, a))
 
 
 def factorised_min(df: DataFrame, keys: list[str], value: str, other: DataFrame, other_keys: list[str]) -> DataFrame:

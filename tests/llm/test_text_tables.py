@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -189,6 +189,45 @@ def test_pieces_are_exact_and_sequences_gapless(spark):
     assert packing.pack_documents(documents(spark, []), path).collect() == []
 
 
+@pytest.mark.parametrize("slots", [2, 1 << 21])
+def test_encoder_is_the_library(monkeypatch, slots):
+    """Hostile texts in batches, with a table that is full at once and one that isn't; the first and the second time."""
+    monkeypatch.setattr(packing, "SLOTS", slots)
+    rnd = random.Random(slots)
+    words = ["it's", "I'LL", "we've'd", "'S", "'re", "''t", "\"'s", "!'ll", "'lla", "'dx", "1'm2", "Straße", "ÀÉÎ×Öß÷ÿ", "é́", "İ", "Σας", "字", "x" * 16, "y" * 17, "z" * 60, "12.5", "a1b", "...", "\x00", "\x1c\x85", " ", "<|endoftext|>", "<|", "\u2028", "ﬁ"]
+    texts = ["", " ", "'", *words] + [rnd.choice(["", " ", "\n"]).join(rnd.choices(words if i % 3 else words[:19], k=rnd.randrange(1, 30))) for i in range(400)]
+    coder = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        for at in range(0, len(texts), 37):
+            got = [x.tolist() for x in coder.encode(texts[at : at + 37])]
+            assert got == want[at : at + 37], next(t for t, a, b in zip(texts[at:], got, want[at:], strict=False) if a != b)
+    coder.clear()
+    assert [x.tolist() for x in coder.encode(texts)] == want and coder.encode([]) == []
+
+
+def test_best_two_is_exhaustive():
+    rnd = random.Random(3)
+    for _ in range(500):
+        left = {n: rnd.randrange(1, 4) for n in rnd.sample(range(1, 60), rnd.randrange(1, 14))}
+        taken = Counter({n: rnd.randrange(0, c + 1) for n, c in left.items()})
+        gap, least = rnd.randrange(2, 100), rnd.randrange(0, 40)
+        free = {n: left[n] - taken[n] for n in left}
+        sums = [x + y for x in free for y in free if x >= y and free[x] > 0 and free[y] > (x == y) and least < x + y <= gap]
+        assert sum(packing._best_two(sorted(left), left, taken, gap, least)) == max(sums, default=0)
+
+
+def test_packing_cases(spark, monkeypatch):
+    """Null doc_id, repeated rows, columns that clash, and a length that is ranked in several parts."""
+    monkeypatch.setattr(packing, "RANKED", 3)
+    schema = "doc_id bigint, text string, length string, piece string, salt string"
+    rows = [(None, "a b", "", "", "")] * 3 + [(1, "same", "", "", "")] * 5 + [(2, None, "", "", "")]
+    out = packing.pack_documents(spark.createDataFrame(rows, schema), tokenizer_path("word_bpe_49k.json")).collect()
+    assert Counter(r["doc_id"] for r in out) == {None: 3, 1: 5, 2: 1}
+    places = sorted((r["offset"], r["length"]) for r in out)
+    assert len({r["sequence_id"] for r in out}) == 1 and all(a[0] + a[1] == b[0] for a, b in zip(places, places[1:]))  # noqa: RUF007
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_all_pieces_and_few_bins(seed):
     rnd = random.Random(seed)

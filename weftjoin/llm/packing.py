@@ -7,7 +7,7 @@ list of patterns, each used for a number of sequences: a bin takes the longest l
 and again, the longest that fits; if a gap stays, its smallest piece is exchanged for two unpacked ones
 that fill the widened gap better.  A pattern is used as often as its lengths last, so each use runs a
 length out and the plan stays short.  Then every piece gets its rank among the pieces of its length,
-counted in salted parts so that no length is ranked in one task, and the rank gives its place.
+counted in salted parts of about ``RANKED`` pieces, as many as its pieces ask for, and the rank gives its place.
 
 Cases: null and empty texts are the end id alone; null doc_id and repeated rows are packed as rows of their
 own; an empty table gives no rows; a text of any length is tokenised whole; other columns are ignored.
@@ -26,86 +26,168 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import durable, python_rows
+from weftjoin.llm.support import durable, mix64, python_rows
 
 CAPACITY = 4096
 END_ID = 1
-SALTS = 64
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 48
-#: Letters for which lower-casing is one character to one and no normalisation applies, then ASCII marks other than the apostrophe.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-def _stretches(text: str) -> list[str]:
-    """What stands between ASCII white space; empty strings between adjoining spaces encode to nothing."""
-    for space in "\n\t\r\x0b\x0c":
-        if space in text:
-            text = text.replace(space, " ")
-    return text.split(" ")
+#: Pieces of one length that one task ranks, about.
+RANKED = 200_000
+MEMO_ENTRIES, MEMO_LENGTH = 1_000_000, 48
+#: Characters of texts that are encoded together at once.
+BATCH_CHARACTERS = 1_000_000
+_SPACES = r" \t\n\x0b\x0c\r"
+#: Any character but ASCII and the letters for which lower-casing is one character to one and no normalisation applies.
+_OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+#: Parts of texts with other characters: a stretch that has one is one part.
+_MIXED_PARTS = re.compile(rf"[^{_SPACES}]*{_OTHER.pattern}[^{_SPACES}]*|(?i:'s|'t|'re|'ve|'m|'ll|'d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^{_SPACES}0-9A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+#: Slots of a worker's table of parts, of two for each part, and the longest part in it (bytes).
+SLOTS, LONGEST = 1 << 21, 16
+
+
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kind, lower = np.full(256, _MARK, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    for first, last, k in ((65, 90, _LETTER), (97, 122, _LETTER), (128, 255, _LETTER), (48, 57, _DIGIT), (9, 13, _SPACE), (32, 32, _SPACE)):
+        kind[first : last + 1] = k
+    lower[65:91] += 32
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    return kind, lower, masks
+
+
+_KIND, _LOWER, _MASKS = _byte_kinds()
+
+
+def parts_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes (and 16 zeros), starts and ends of the tokenizer's parts of a text of ASCII and Latin letters.
+
+    Runs of letters, single digits, runs of marks; an apostrophe that begins a run of marks is one part with an s, t, m, d, re, ve or
+    ll behind it.
+    """
+    data = np.zeros(len(raw) + 16, dtype=np.uint8)
+    data[: len(raw)] = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
+    after = np.flatnonzero(data[: len(raw)] == 0xC3) + 1  # capitals of two bytes are 32 below the small ones
+    data[after] += np.where(data[after] < 0x9F, np.uint8(32), np.uint8(0))
+    kind = _KIND[data[: len(raw)]]
+    cut = np.ones(len(raw) + 1, dtype=bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    quote = np.flatnonzero((data[: len(raw)] == 39) & cut[:-1])
+    if len(quote):
+        one, two = data[quote + 1], data[quote + 2]
+        single = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+        double = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        cut[quote[single | double] + 1] = False
+        cut[quote[single] + 2] = True
+        cut[quote[double & ~single] + 3] = True
+    edges = np.flatnonzero(cut)
+    starts, ends = edges[:-1], edges[1:]
+    said = kind[starts] != _SPACE
+    return data, starts[said], ends[said]
 
 
 class WordEncoder:
-    """Ids of a tokenizer whose splits never reach across ASCII white space, kept per stretch between spaces.
+    """Ids of a word-end BPE whose pre-tokeniser lower-cases, drops white space and splits words, digits and marks, kept per part.
 
-    That holds if the tokenizer's pre-tokeniser drops white space and splits letters from marks, as the
-    word-end BPE here does; the stretches' ids in order are then the text's ids.  A stretch of plain letters
-    and marks behind them is two such parts, and lower-casing is the tokenizer's own, so most new stretches
-    are put together from a lower-case word and marks that were met before; all ids come from the library.
+    Texts of ASCII and Latin letters are split by ``parts_of``, which says the same as the tokenizer, and parts of up to ``LONGEST`` bytes
+    are looked up all at once in a table by their bytes.  In other texts, stretches between ASCII white space that hold any
+    other character go to the library whole, and so do texts with a special string of the tokenizer.  All ids come from the library: many
+    parts in one call, with spaces between, told apart by the one token that ends each.  A full table starts over.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-
-    def _plain_words(self, new: list[str]) -> dict[str, bytes]:
-        """Words of letters alone: many in one call, told apart by the one token that ends each."""
-        out = {}
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.memo: dict[str, np.ndarray] = {}  # parts of mixed texts
+        self.slot = np.zeros(SLOTS, dtype=np.int32)  # number of the part that is kept there; 0: none
+        self.low, self.high, self.first, self.size = (np.zeros(1, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def _whole(self, new: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _encoded(self, plain: list[str]) -> list[np.ndarray]:
+        """Ids of parts as they stand between spaces."""
+        out = []
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(stops) != len(part):
-                out |= self._library(part)
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-            out.update((w, raw[at[k] : at[k + 1]]) for k, w in enumerate(part))
+            out += np.split(ids, stops[:-1]) if len(stops) == len(part) else self._whole(part)
         return out
 
-    def _library(self, new: list[str]) -> dict[str, bytes]:
-        out = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return out
-
-    def _new(self, stretches: set[str]) -> dict[str, bytes]:
-        split = {c: (m[1].lower(), m[2]) if (m := _LETTERS.fullmatch(c)) else (c, "") for c in stretches}
-        wanted = {p for pair in split.values() for p in pair if p and p not in self.parts}
-        plain = [w for w in wanted if _LETTERS.fullmatch(w) and w[-1].isalpha()]
-        fresh = self._plain_words(plain) | self._library(list(wanted.difference(plain)))
-        self.parts.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_LENGTH)
-        get = lambda p: self.parts[p] if p in self.parts else fresh[p]
-        return {c: get(a) + get(b) if b else get(a) for c, (a, b) in split.items()}
+    def _mixed(self, text: str) -> np.ndarray:
+        if "<|" in text and any(s in text for s in self.special):
+            return self._whole([text])[0]
+        parts = [p if _OTHER.search(p) else p.lower() for p in _MIXED_PARTS.findall(text)]
+        new = [p for p in dict.fromkeys(parts) if p not in self.memo]
+        other = [p for p in new if _OTHER.search(p)]
+        plain = [p for p in new if not _OTHER.search(p)]
+        found = dict(zip(other + plain, self._whole(other) + self._encoded(plain), strict=True))
+        self.memo.update((p, x) for p, x in found.items() if len(p) <= MEMO_LENGTH)
+        return np.concatenate([self.memo[p] if p in self.memo else found[p] for p in parts]) if parts else np.zeros(0, dtype="<u4")
+
+    def _places(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix64(low ^ mix64(high))
+        return (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        raws = [t.encode() for t in texts]
+        data, starts, ends = parts_of(b"\n".join(raws))
+        length = ends - starts
+        words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        low = words[starts] & _MASKS[np.minimum(length, 8)]
+        high = words[starts + 8] & _MASKS[np.clip(length - 8, 0, 8)] if len(starts) else low
+        one, two = self._places(low, high)
+        at = self.slot[one]
+        for place in (None, two):
+            if place is not None:
+                missed = np.flatnonzero(at == 0)
+                at[missed] = self.slot[place[missed]]
+            at[(self.low[at] != low) | (self.high[at] != high) | (length > LONGEST)] = 0
+        missed = np.flatnonzero(at == 0)
+        first, size, flat = self.first, self.size, self.flat
+        first, size = first[at], size[at]
+        if len(missed):
+            raw = data.tobytes()
+            own = [raw[a:b] for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)]
+            names = {c: i for i, c in enumerate(dict.fromkeys(own))}
+            ids = self._encoded([c.decode() for c in names])
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            firsts = len(flat) + np.cumsum(sizes) - sizes
+            which = np.fromiter(map(names.__getitem__, own), dtype=np.int64, count=len(own))
+            first[missed], size[missed] = firsts[which], sizes[which]
+            flat = np.concatenate((flat, *ids))
+            once = missed[np.unique(which, return_index=True)[1]]
+            self._keep(low[once], high[once], firsts, sizes, length[once] <= LONGEST, flat)
+        stops = np.cumsum(size)
+        out = flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - stops + size, size)]
+        text_ends = np.cumsum([len(r) + 1 for r in raws])
+        until = np.concatenate(([0], stops))[np.searchsorted(starts, text_ends)]
+        return np.split(out, until[:-1])
+
+    def _keep(self, low, high, first, size, short, flat) -> None:
+        """Put new parts of up to ``LONGEST`` bytes into free slots; one that finds none is encoded again when it is met."""
+        number = len(self.low) + np.arange(len(low), dtype=np.int32)
+        for place in self._places(low, high):
+            free = np.flatnonzero(short & (self.slot[place] == 0))
+            self.slot[place[free]] = number[free]
+            short = short & (self.slot[place] != number)
+        self.low, self.high = np.concatenate((self.low, low)), np.concatenate((self.high, high))
+        self.first, self.size, self.flat = np.concatenate((self.first, first)), np.concatenate((self.size, size)), flat
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        memo, out = self.memo, []
-        split = [_stretches(t) for t in texts]
-        new = self._new({c for s in split for c in s if c not in memo})
-        extra = {c: ids for c, ids in new.items() if len(c) > MEMO_LENGTH}
-        memo.update((c, ids) for c, ids in new.items() if len(c) <= MEMO_LENGTH)
-        for s in split:
-            out.append(np.frombuffer(b"".join([memo[c] if c in memo else extra[c] for c in s] if extra else map(memo.__getitem__, s)), dtype="<u4"))
-        for kept in (memo, self.parts):
-            if len(kept) > MEMO_ENTRIES:
-                kept.clear()
-                memo[""] = b""
-        return out
+        plain = [i for i, t in enumerate(texts) if not ("<|" in t and any(s in t for s in self.special)) and (t.isascii() or not _OTHER.search(t))]
+        out = dict(zip(plain, self._plain([texts[i] for i in plain]) if plain else [], strict=True))
+        result = [out[i] if i in out else self._mixed(t) for i, t in enumerate(texts)]
+        if len(self.low) + len(self.memo) > MEMO_ENTRIES:
+            self.clear()
+        return result
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -129,18 +211,23 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
     def run(batches):
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
-                rows = []
+            size = np.cumsum([len(t or "") for t in b["text"]]) // BATCH_CHARACTERS
+            for _, part in b.groupby(size, sort=False):
+                doc, piece, start, length, crc, kept = [], [], [], [], [], []
                 encoded = encoder(tokenizer_path).encode([t or "" for t in part["text"]])
-                for doc_id, ids in zip(part["doc_id"], encoded, strict=True):
+                for row, ids in enumerate(encoded):
                     ids = np.concatenate((ids, end))
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         own = ids[at : at + capacity]
-                        rows.append((doc_id, k, at, len(own), zlib.crc32(own.tobytes()), *([own.tolist()] if keep_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                        doc.append(row)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(len(own))
+                        crc.append(zlib.crc32(own))
+                        if keep_ids:
+                            kept.append(own.tolist())
+                out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").iloc[doc].to_numpy(), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+                yield out.assign(ids=kept) if keep_ids else out
 
     return python_rows(documents.select("doc_id", "text"), run, PIECES + (", ids array<int>" if keep_ids else ""))
 
@@ -230,11 +317,12 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     pieces = durable(pieces)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).alias("salt")
-    salted = pieces.select("*", salt)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = [(n, -(-many // RANKED)) for n, many in histogram.items()]  # a row for each length, no more than the capacity has
+    salted = pieces.join(F.broadcast(pieces.sparkSession.createDataFrame(salts, "length long, salts long")), "length")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = pieces.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("row", F.row_number().over(order)).join(before, ["length", "salt"])

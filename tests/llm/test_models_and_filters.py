@@ -199,6 +199,47 @@ def test_tiles_against_brute_force():
         assert len({x for i, _, n in tiles for x in range(i, i + n)}) == len({x for _, j, n in tiles for x in range(j, j + n)}) == sum(n for *_, n in tiles)
 
 
+def test_tiles_of_short_vocabularies_against_brute_force():
+    text = [15, 5, 27, 25, 23, 17, 22, 15, 4, 9, 6, 28, 22, 5, 15, 5, 27, 25, 23, 17, 22, 15, 2]
+    item = [5, 12, 28, 3, 4, 9, 6, 28, 22, 5, 27, 25, 23, 17, 22, 15]
+    assert sum(n for *_, n in decontaminate.greedy_tiles(text, item)) == brute_coverage(text, item) == 12
+    rnd = random.Random(1)
+    for _ in range(3000):
+        v = rnd.randrange(1, 31)
+        item, text = [rnd.randrange(v) for _ in range(rnd.randrange(5, 24))], []
+        for _ in range(rnd.randrange(1, 4)):
+            a = rnd.randrange(len(item))
+            text += item[a : a + rnd.randrange(3, 16)] + [rnd.randrange(v) for _ in range(rnd.randrange(4))]
+        assert sum(n for *_, n in decontaminate.greedy_tiles(text, item)) == brute_coverage(text, item), (text, item)
+
+
+def test_tiles_of_repeated_words_stay_few():
+    assert decontaminate.greedy_tiles([1] * 20_000, [1] * 300 + [2] * 300) == [(0, 0, 300)]
+
+
+def test_seeds_are_flat_and_small():
+    rnd = random.Random(2)
+    items = [(i, " ".join(f"w{rnd.randrange(50_000)}" for _ in range(400))) for i in range(200)]
+    seeds = decontaminate.Seeds(items, 5)
+    size = sum(x.nbytes for x in (seeds.words, seeds.starts, seeds.known, seeds.first, seeds.owner))
+    assert size <= 4.5 * sum(len(t) for _, t in items)
+    of_all = decontaminate.SeedFilter(80_000)
+    of_all.add(seeds)
+    assert all(of_all.hits(t, 5) for _, t in items) and not of_all.hits(None, 5) and not of_all.hits("a b c d", 5)
+    assert sum(of_all.hits(" ".join(f"x{rnd.randrange(10**9)}" for _ in range(9)), 5) for _ in range(100)) < 60
+
+
+def test_contaminated_rows_without_doc_id_and_clashing_columns(spark):
+    item = "the quick brown fox jumps over the lazy dog"
+    rows = [(None, item, "a"), (None, "nothing of the kind is said here", "b"), (None, None, "c"), (1, item, "d"), (1, item, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, contaminated string")
+    bench = spark.createDataFrame([(i, f"{item} {'x' * i}") for i in range(6)], "item_id bigint, text string")
+    for block_bytes in (decontaminate.BLOCK_BYTES, 100):
+        got = decontaminate.find_contaminated(docs, bench, block_bytes=block_bytes).collect()
+        assert Counter((r["doc_id"], r["contaminated"]) for r in got) == {(None, True): 1, (None, False): 2, (1, True): 2}
+        assert sorted(r["contaminated"] for r in decontaminate.remove_contaminated(docs, bench, block_bytes=block_bytes).collect()) == ["b", "c"]
+
+
 def test_contaminated_documents(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong tea beside an old river"
     w = item.split()

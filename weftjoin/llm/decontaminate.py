@@ -7,10 +7,11 @@ marked where they don't overlap, until none of ``least`` words is left.  The sha
 tiles is its coverage; a document that covers ``threshold`` of an item is contaminated.  Tiles may come in any
 order, so a passage whose sentences were moved about is still covered.
 
-The benchmark is the stated query set.  It is measured first and taken in blocks of at most
-``block_bytes`` of text; each block's seeds are broadcast and joined to all documents.
+The benchmark is the stated query set.  It is measured first.  Up to ``block_bytes`` of text, its words and seeds are
+broadcast, about three times the text's bytes, and joined to all documents.  A larger one is taken in blocks of that size: a filter of
+all seeds, of ``FILTER_BYTES`` at most, picks the documents with a seed in one scan, and each block meets those alone.
 
-Cases: null and empty texts, and items, match nothing; items of fewer than ``least`` words can't be told
+Cases: null and empty texts, and items, match nothing; rows without a doc_id are judged as any other; items of fewer than ``least`` words can't be told
 from chance and match nothing; a text of any length is searched whole; repeated rows get equal results;
 ties between items go to the smallest item_id; texts that share an item_id are each searched; an empty table on either side is fine; other columns are kept
 by ``remove_contaminated`` and ignored by ``find_contaminated``.
@@ -26,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import python_rows, rows_by_text, utf8, window_hashes, words_of
+from weftjoin.llm.support import python_rows, rows_by_text, stored, utf8, window_hashes, words_of
 
 LEAST = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 8_000_000
+FILTER_BYTES = 1 << 26
 _PARTS = np.array([c < 128 and not (chr(c).isalnum() or c == 95) for c in range(256)])
 _MOD = (1 << 61) - 1
 _BASE = 1_000_003
@@ -56,8 +58,25 @@ def _rolling(row: list[int], free: bytearray, size: int):
             yield value, i - size + 1
 
 
+def _free_runs(free_t: bytearray, free_i: bytearray, i: int, j: int, n: int):
+    """(offset, length) of the stretches of a match in which neither side is taken."""
+    at = 0
+    while at < n:
+        if not (free_t[i + at] and free_i[j + at]):
+            at += 1
+            continue
+        ends = (free_t.find(0, i + at, i + n) - i, free_i.find(0, j + at, j + n) - j)
+        end = min((e for e in ends if e >= 0), default=n)
+        yield at, end - at
+        at = end
+
+
 def greedy_tiles(text: list[int], item: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Tiles (text start, item start, length): longest first, no word in two of them, each of ``least`` words or more."""
+    """Tiles (text start, item start, length): longest first, no word in two of them, each of ``least`` words or more.
+
+    A match is noted once, where it begins, so texts of repeated words have no more of them than positions in both; when
+    its turn comes and earlier tiles took a part of it, what is left goes back to wait for its own turn.
+    """
     free_t, free_i, tiles = bytearray(b"\1" * len(text)), bytearray(b"\1" * len(item)), []
     size = max(least, len(item))
     while size >= least:
@@ -67,6 +86,8 @@ def greedy_tiles(text: list[int], item: list[int], least: int = LEAST) -> list[t
         found = []
         for h, i in _rolling(text, free_t, size) if table else ():
             for j in table.get(h, ()):
+                if i and j and free_t[i - 1] and free_i[j - 1] and text[i - 1] == item[j - 1]:
+                    continue  # it begins further to the left
                 if text[i : i + size] == item[j : j + size]:
                     n = size
                     while i + n < len(text) and j + n < len(item) and free_t[i + n] and free_i[j + n] and text[i + n] == item[j + n]:
@@ -75,13 +96,12 @@ def greedy_tiles(text: list[int], item: list[int], least: int = LEAST) -> list[t
         heapq.heapify(found)
         while found:
             n, i, j = heapq.heappop(found)
-            ends = (free_t.find(0, i, i - n) - i, free_i.find(0, j, j - n) - j)
-            left = min((e for e in ends if e >= 0), default=-n) if free_t[i] and free_i[j] else 0
-            if left == -n:
-                free_t[i : i - n] = free_i[j : j - n] = bytes(-n)
-                tiles.append((i, j, -n))
-            elif left >= size:  # tiles took its end; the free front waits for its turn
-                heapq.heappush(found, (-left, i, j))
+            for at, run in _free_runs(free_t, free_i, i, j, -n):
+                if run == -n:
+                    free_t[i : i - n] = free_i[j : j - n] = bytes(-n)
+                    tiles.append((i, j, -n))
+                elif run >= size:
+                    heapq.heappush(found, (-run, i + at, j + at))
         if 1 not in free_i or size == least:
             break
         size = max(least, size // 2)
@@ -89,22 +109,25 @@ def greedy_tiles(text: list[int], item: list[int], least: int = LEAST) -> list[t
 
 
 class Seeds:
-    """A block of the benchmark: the items' ids and words, and from a seed's hash to the places of the items that have it.
+    """A block of the benchmark in flat arrays: the items' words, and for each seed, sorted by hash, the items that have it.
 
     Texts that share an item_id are items of their own.
     """
 
     def __init__(self, items: list[tuple[int, str]], least: int):
-        self.least, self.items = least, []
-        owners = defaultdict(set)
-        for item_id, text in sorted(set(items)):
-            row = words(text)
-            if len(row) >= least:
-                for h in window_hashes(row, least).tolist():
-                    owners[h].add(len(self.items))
-                self.items.append((item_id, row.tolist()))
-        self.owners = dict(owners)
-        self.known = np.array(sorted(self.owners), dtype=np.uint64)
+        self.least = least
+        rows = [(item_id, words(text)) for item_id, text in sorted(set(items))]
+        rows = [(item_id, row) for item_id, row in rows if len(row) >= least]
+        self.ids = [item_id for item_id, _ in rows]
+        self.words = np.concatenate([row for _, row in rows]) if rows else np.zeros(0, dtype=np.uint64)
+        self.starts = np.cumsum([0, *(len(row) for _, row in rows)])
+        seeds = [np.unique(window_hashes(row, least)) for _, row in rows]
+        hashes = np.concatenate(seeds) if rows else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in seeds])
+        order = np.argsort(hashes, kind="stable")
+        self.owner = owner[order]
+        self.known, first = np.unique(hashes[order], return_index=True)
+        self.first = np.append(first, len(hashes))
 
     def coverages(self, text: str | None) -> list[tuple[int, float, int]]:
         """(item_id, coverage, tiles) of the items that share a seed with ``text``."""
@@ -112,10 +135,11 @@ class Seeds:
         if not len(self.known) or len(row) < self.least:
             return []
         hashes = window_hashes(row, self.least)
-        at = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes)
+        seed = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        at = np.flatnonzero(self.known[seed] == hashes)
         places = defaultdict(list)
-        for i, h in zip(at.tolist(), hashes[at].tolist(), strict=True):
-            for k in self.owners[h]:
+        for i, s in zip(at.tolist(), seed[at].tolist(), strict=True):
+            for k in self.owner[self.first[s] : self.first[s + 1]].tolist():
                 places[k].append(i)
         out = []
         for k, starts in places.items():
@@ -127,12 +151,34 @@ class Seeds:
                     end = i
                 stretch.extend(row[end : i + self.least].tolist())
                 end = i + self.least
-            item_id, item = self.items[k]
+            item = self.words[self.starts[k] : self.starts[k + 1]].tolist()
             tiles = greedy_tiles(stretch, item, self.least)
-            out.append((item_id, sum(n for _, _, n in tiles) / len(item), len(tiles)))
+            out.append((self.ids[k], sum(n for _, _, n in tiles) / len(item), len(tiles)))
         return out
 
 
+class SeedFilter:
+    """Bits of the seeds of all blocks: a text that hits none shares a seed with no item.  Too few bits only let more texts through."""
+
+    def __init__(self, n_words: int):
+        self.bits = np.zeros(min(FILTER_BYTES, max(1 << 10, 1 << (2 * n_words).bit_length())), dtype=np.uint8)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = hashes & np.uint64(8 * len(self.bits) - 1)
+        return (place >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8))
+
+    def add(self, seeds: Seeds) -> None:
+        byte, bit = self._places(seeds.known)
+        np.bitwise_or.at(self.bits, byte, bit)
+
+    def hits(self, text: str | None, least: int) -> bool:
+        row = words(text)
+        if len(row) < least:
+            return False
+        byte, bit = self._places(window_hashes(row, least))
+        return bool((self.bits[byte] & bit).any())
+
+
 RESULT = "contaminated boolean, item_id bigint, coverage double, n_tiles int, items array<bigint>"
 
 
@@ -163,21 +209,42 @@ def _judged(documents: DataFrame, block: DataFrame, least: int, threshold: float
     return python_rows(documents, run, schema)
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("*", F.xxhash64(text).alias("_weft_hash"), F.octet_length(text).alias("_weft_size"))
+
+
+def _same(k: str, m: str):
+    return F.col(f"{k}.doc_id").eqNullSafe(F.col(f"{m}.doc_id")) & (F.col(f"{k}._weft_hash") == F.col(f"{m}._weft_hash")) & (F.col(f"{k}._weft_size") == F.col(f"{m}._weft_size"))
+
+
+def _over_blocks(documents: DataFrame, blocks: list[DataFrame], least: int, threshold: float) -> DataFrame:
+    """What the blocks tell of documents with a seed: doc_id, _weft_hash, _weft_size, contaminated, b (best item), items.
+
+    One scan sends the texts that hit the filter of all seeds to the shared folder; only those are judged, block by block.
+    """
+    of_all = SeedFilter(sum(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for b in blocks))
+    for block in blocks:  # one at a time on the driver
+        of_all.add(Seeds([(r["item_id"], r["text"]) for r in block.collect()], least))
+    shared = documents.sparkSession.sparkContext.broadcast(of_all)
+    keyed = _keyed(documents.select("doc_id", "text"))
+    candidates = stored(rows_by_text(keyed, lambda texts: [shared.value.hits(t, least) for t in texts]))
+    union = None
+    for block in blocks:
+        found = _judged(candidates, block, least, threshold).filter("item_id IS NOT NULL")
+        union = found if union is None else union.unionByName(found)
+    best = F.max_by(F.struct("item_id", "coverage", "n_tiles"), F.struct("coverage", (-F.col("item_id")).alias("i")))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    return union.groupBy("doc_id", "_weft_hash", "_weft_size").agg(F.max("contaminated").alias("contaminated"), best.alias("b"), items)
+
+
 def find_contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, contaminated, item_id and coverage of the most covered item, n_tiles, items (all at the threshold)."""
     blocks = _blocks(benchmark, block_bytes)
     if len(blocks) == 1:
         return _judged(documents.select("doc_id", "text"), blocks[0], least, threshold)
-    text = F.coalesce("text", F.lit(""))
-    keyed = documents.select("doc_id", F.xxhash64(text).alias("_h"), F.octet_length(text).alias("_n"), "text")
-    found = [_judged(keyed, b, least, threshold).filter("item_id IS NOT NULL") for b in blocks]
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
-    best = F.max_by(F.struct("item_id", "coverage", "n_tiles"), F.struct("coverage", (-F.col("item_id")).alias("i")))
-    merged = union.groupBy("doc_id", "_h", "_n").agg(F.max("contaminated").alias("contaminated"), best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    k, m = keyed.select("doc_id", "_h", "_n").alias("k"), merged.alias("m")
-    joined = k.join(m, F.col("k.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("k._h") == F.col("m._h")) & (F.col("k._n") == F.col("m._n")), "left")
+    k, m = _keyed(documents.select("doc_id", "text")).drop("text").alias("k"), _over_blocks(documents, blocks, least, threshold).alias("m")
+    joined = k.join(m, _same("k", "m"), "left")
     return joined.select(
         "k.doc_id", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), "b.item_id", F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("b.n_tiles", F.lit(0)).alias("n_tiles"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
@@ -186,7 +253,9 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, least: int = L
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that cover no item to the threshold, all columns kept."""
-    for block in _blocks(benchmark, block_bytes):
-        seeds = documents.sparkSession.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in block.collect()), least))
-        documents = rows_by_text(documents, lambda texts, seeds=seeds: [all(c < threshold for _, c, _ in seeds.value.coverages(t)) for t in texts])
-    return documents
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        bad = _over_blocks(documents, blocks, least, threshold).filter("contaminated").alias("m")
+        return _keyed(documents).alias("k").join(bad, _same("k", "m"), "left_anti").select(*[F.col(f"k.`{c}`") for c in documents.columns])
+    seeds = documents.sparkSession.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in blocks[0].collect()), least))
+    return rows_by_text(documents, lambda texts: [all(c < threshold for _, c, _ in seeds.value.coverages(t)) for t in texts])

@@ -29,13 +29,13 @@ def _with_run(lines: DataFrame) -> DataFrame:
 
 
 def _behind_colon(line: str) -> Column:
-    return F.trim(F.regexp_extract(F.col(line), r":(.*)$", 1))
+    return F.regexp_extract(F.col(line), r":\s*(.*?)\s*$", 1)
 
 
 def plan_statistics(lines: DataFrame) -> DataFrame:
     """(query, threads, n_nodes, atoms, attributes): the last plan block of each query in a log."""
-    numbers = lambda c: F.transform(F.split(_behind_colon(c), " +"), lambda x: x.cast("int"))
-    blocks = _with_run(lines).filter(F.col("line").startswith("Num ") & ~F.col("line").contains("Tuples"))
+    numbers = lambda c: F.transform(F.split(_behind_colon(c), r"\s+"), lambda x: x.cast("int"))
+    blocks = _with_run(lines).filter(F.col("line").startswith("Num Nodes"))
     last = blocks.groupBy("file", "run").agg(F.max_by(F.struct("query", "threads", "line", "next", "after"), "pos").alias("b")).select("b.*")
     return last.select("query", "threads", _behind_colon("line").cast("int").alias("n_nodes"), numbers("next").alias("atoms"), numbers("after").alias("attributes"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftjoin.llm import chat_format, jaccard_join, near_vectors
+from weftjoin.llm import chat_format, jaccard_join, near_vectors, url_filter
 
 #: Links (a, b) among ids (id) closed to the smallest id reachable: the part that both similarity joins share.
 _CLOSURE = """reach(id, seen) AS (SELECT id, id FROM ids UNION SELECT reach.id, e.b FROM reach JOIN edges e ON reach.seen = e.a),
@@ -50,3 +50,23 @@ facts AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || c
   sum(length({escaped}) + CASE role {marks} ELSE {len(t.other_opening) + len(t.other_opening_end) + len(t.other_closing)} + length(url_encode(role)) END) AS chars,
   bool_and({steps}) AND bool_and(NOT is_last OR role IN ({ends})) AS valid FROM steps GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars, valid FROM facts"""
+
+
+def urls(rules: list[url_filter.Rule], damping: float = 0.85, steps: int = 200) -> str:
+    """Rules by CASE; scores as sums over walks of up to ``steps`` steps, behind which no mass is left that could change a verdict."""
+    upper, lower = url_filter._UPPER, url_filter._LOWER
+    longest = sorted(rules, key=lambda r: (-len(r.text), r.text, r.verdict))
+    fits = [(f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in longest]
+    case = lambda pick: f"CASE {' '.join(f"WHEN {test} THEN '{pick(r)}'" for test, r in fits)} END"
+    href = url_filter._HREF.replace("'", "''")
+    return rf"""WITH RECURSIVE u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{url_filter._URL}', 1), '{upper}', '{lower}') AS host, regexp_extract(coalesce(url, ''), '{url_filter._URL}', 2) AS path FROM pages),
+ruled AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS rule_verdict FROM u),
+hosts AS (SELECT host, count(*) FILTER (rule_verdict = 'allow') AS a, count(*) FILTER (rule_verdict = 'block') AS b FROM ruled WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{href}', 1)), '{upper}', '{lower}') AS dst FROM u),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+steps AS (SELECT src AS here, dst AS there, n / sum(n) OVER (PARTITION BY src) AS w, 1 AS forth FROM edges UNION ALL SELECT dst, src, n / sum(n) OVER (PARTITION BY dst), 0 FROM edges),
+mass AS (SELECT 0 AS i, host, {1 - damping} * a / greatest(1, (SELECT sum(a) FROM hosts)) AS t, {1 - damping} * b / greatest(1, (SELECT sum(b) FROM hosts)) AS d FROM hosts UNION ALL
+SELECT i + 1, there, {damping} * sum(t * w * forth), {damping} * sum(d * w * (1 - forth)) FROM mass JOIN steps ON host = here WHERE i < {steps} AND t + d > 0 GROUP BY i + 1, there),
+scores AS (SELECT host, sum(t) AS t, sum(d) AS d FROM mass GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(rule_verdict, CASE WHEN d > t AND d >= {url_filter.LEAST} / (SELECT count(*) FROM hosts) THEN 'block' END, 'allow') AS verdict
+FROM ruled r LEFT JOIN scores s ON r.host = s.host"""

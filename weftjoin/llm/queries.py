@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftjoin.llm.support import scratch_path, table
+from weftjoin.llm.support import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +17,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def url_rules() -> list:
+    from weftjoin.llm.url_filter import Rule
+
+    return [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftjoin.llm.url_filter import Rule, judge_pages
+    from weftjoin.llm.url_filter import judge_pages
 
-    rules = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
-    return judge_pages(table(spark, sf_dir, "pages"), rules)
+    return judge_pages(table(spark, sf_dir, "pages"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftjoin.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), f"{shared_dir(spark).rstrip('/')}/token-cache")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +95,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from weftjoin.llm import oracles
 
-    return {"op2_ngram_jaccard": oracles.JACCARD, "op7_chat_format": oracles.chat(), "op10_near_vectors": oracles.VECTORS}
+    return {"op1_url_filter": oracles.urls(url_rules()), "op2_ngram_jaccard": oracles.JACCARD, "op7_chat_format": oracles.chat(), "op10_near_vectors": oracles.VECTORS}

@@ -29,8 +29,8 @@ from weftjoin.llm.support import durable
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
-#: Rules are compared one by one in an expression; longer lists belong in a table of their own.
-MOST_RULES = 1000
+#: Up to so many rules are compared one by one in an expression; more are joined as a table.
+MOST_RULES = 200
 LEAST = 0.25
 SETTLED = 0.01
 
@@ -54,11 +54,18 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
-def with_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """page_id, host, path, rule, rule_verdict."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are compared in an expression")
+def with_rules(pages: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """page_id, host, path, rule, rule_verdict; ``rules`` are a list, or a table (verdict, host, path) of any size.
+
+    A list of up to ``MOST_RULES`` is one expression.  A longer one is joined as a table is: every distinct (host, path) with each of its
+    host suffixes and each of its path's beginnings of a length that some rule's path has.  Of rules of equal length
+    the smallest (text, verdict) wins in either form.
+    """
     out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if isinstance(rules, DataFrame) or len(rules) > MOST_RULES:
+        if not isinstance(rules, DataFrame):
+            rules = pages.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+        return _joined_rules(out, rules)
     text = verdict = None
     for r in sorted(rules, key=lambda r: (-len(r.text), r.text, r.verdict)):
         fits = ((F.col("host") == r.host) | F.col("host").endswith(f".{r.host}")) & F.col("path").startswith(r.path)
@@ -68,6 +75,21 @@ def with_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.select("*", (none if text is None else text).alias("rule"), (none if verdict is None else verdict).alias("rule_verdict"))
 
 
+def _joined_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    rules = rules.groupBy(F.col("host").alias("of"), F.col("path").alias("begins")).agg(F.min("verdict").alias("rule_verdict"))
+    lengths = rules.select(F.length("begins").alias("size")).distinct().agg(F.sort_array(F.collect_list("size")).alias("sizes"))  # no more than a url has characters
+    sites = pages.select("host", "path").distinct().crossJoin(F.broadcast(lengths))  # one row of lengths
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    sites = sites.select("host", "path", "sizes", F.explode(suffixes).alias("of"))
+    sites = sites.join(rules.select("of").distinct(), "of", "left_semi")
+    sites = sites.select("host", "path", "of", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("size"))
+    met = sites.withColumn("begins", F.substring("path", F.lit(1), F.col("size"))).join(rules, ["of", "begins"])
+    text = F.concat("of", "begins")
+    best = met.groupBy("host", "path").agg(F.min(F.struct((-F.length(text)).alias("longest"), text.alias("rule"), F.col("rule_verdict"))).alias("b"))
+    return pages.join(best.select("host", "path", "b.rule", "b.rule_verdict"), ["host", "path"], "left").select("page_id", "host", "path", "rule", "rule_verdict")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links): links from one host to another, counted; a host's links to itself are left out."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("dst"))
@@ -110,7 +132,7 @@ tend to, summed over the hosts, is ``tolerance`` at most, unless ``iterations``
     return scores
 
 
-def judge_pages(pages: DataFrame, rules: list[Rule], least: float = LEAST) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: list[Rule] | DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's trust and distrust, one row per page."""
     ruled = with_rules(pages, rules)
     count = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1)).alias(v)

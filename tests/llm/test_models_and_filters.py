@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftjoin.llm import decontaminate, labelled, queries, quality, subword, toxicity, url_filter
 from weftjoin.llm.support import window_hashes, words_of
@@ -149,6 +150,42 @@ def test_distrust_reaches_as_far_as_it_counts(spark):
     assert all(got[k]["verdict"] == "block" for k in range(29)) and got[100]["verdict"] == "allow"
 
 
+def test_rules_as_a_table_are_those_of_the_expression(spark):
+    rnd = random.Random(5)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net", "com.net", "é.org"], ["", "/", "/en", "/en/", "/en/7", "/de/7/x", "/En/"]
+    rules = [url_filter.Rule(rnd.choice(["allow", "block"]), rnd.choice(hosts), rnd.choice(paths)) for _ in range(25)]
+    urls = [None, "", "no scheme", "x://"] + [f"x://{rnd.choice(['', 'www.', 'not'])}{rnd.choice(hosts)}{rnd.choice(paths)}{rnd.choice(['', '7', '/7/x?en', '#a'])}" for _ in range(150)]
+    df = pages(spark, [(i % 140, u, None, "x") for i, u in enumerate(urls)])
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+    rows = lambda r: sorted(map(str, url_filter.with_rules(df, r).collect()))
+    assert rows(table) == rows(rules) and sum(r["rule"] is not None for r in url_filter.with_rules(df, rules).collect()) > 30
+    many = rules + [url_filter.Rule("block", f"h{i}.example", "/") for i in range(url_filter.MOST_RULES)]
+    assert rows(many) == rows(rules)
+    assert url_filter.with_rules(df, table.limit(0)).filter("rule IS NOT NULL").count() == 0 and url_filter.with_rules(df.limit(0), table).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdicts_against_sql_on_graphs(spark, seed):
+    """The whole operator, links between hosts included, against the registered SQL and against dense matrices."""
+    from weftjoin.llm import oracles
+
+    rng = np.random.default_rng(seed)
+    n = (20, 60, 200)[seed]
+    host = lambda i: f"h{i}.{('com', 'net', 'org')[i % 3]}"
+    rules = queries.url_rules()
+    rows = []
+    for i in range(2 * n):
+        own = int(rng.integers(n))
+        html = "".join(f'<a class=l href="http://{host(int(j))}/x">y</a>' for j in rng.integers(0, n, rng.integers(0, 4)))
+        rows.append((i, f"http://{host(own)}{rng.choice(['/en/1', '/de/2', '/es/3', '/fr/4', '/fr/5'])}", html or None, "x"))
+    df = pages(spark, [*rows, (None, None, None, "x"), (7, "x://alone", "<a href=//h1.com/>", "x")])
+    got = sorted(map(str, (tuple(r) for r in url_filter.judge_pages(df, rules).select("page_id", "host", "path", "rule", "verdict").collect())))
+    connection = duckdb.connect()
+    connection.register("pages", df.toArrow())
+    assert got == sorted(map(str, connection.execute(oracles.urls(rules)).fetchall()))
+    assert "block" in str(got) and "allow" in str(got)
+
+
 # --- decontamination
 
 
@@ -257,6 +294,56 @@ def test_contaminated_documents(spark):
     assert decontaminate.find_contaminated(docs.limit(0), bench).collect() == []
 
 
+def test_a_training_step_follows_the_gradient():
+    """One plain step on one text: every touched row moves against the numeric gradient of the loss, all others stay."""
+    s = subword.Settings(buckets_log2=8, dim=4, epochs=1, rate=0.4)
+    texts, labels = [b"good words here", b"bad stuff"], [1, 0]
+    start = np.random.default_rng(s.seed).uniform(-1 / s.dim, 1 / s.dim, (1 << s.buckets_log2, s.dim)).astype(np.float32)
+    order = np.random.default_rng(s.seed)
+    order.uniform(size=start.shape)
+    first = int(order.permutation(2)[0])
+    one = subword.train(texts, labels, subword.Settings(**{**s.__dict__, "epochs": 1}))
+    weights = np.zeros((2, s.dim))
+    weights[0, ::2] = weights[1, 1::2] = 1
+    own, share = np.unique(subword.features(texts[first], s)[0], return_counts=True)
+    share = share / share.sum()
+
+    def loss(emb):
+        z = float(share @ emb[own] @ (weights[1] - weights[0]))
+        return float(np.log1p(np.exp(-z if labels[first] else z)))
+
+    other = set(subword.features(texts[1 - first], s)[0].tolist())
+    alone = [k for k, b in enumerate(own) if b not in other]
+    gradient = np.zeros((len(own), s.dim))
+    for k in alone:
+        for d in range(s.dim):
+            up, down = start.astype(float), start.astype(float)
+            up[own[k], d] += 1e-4
+            down[own[k], d] -= 1e-4
+            gradient[k, d] = (loss(up) - loss(down)) / 2e-4
+    moved = (one.embeddings - start)[own]
+    for k in alone:
+        cosine = moved[k] @ gradient[k] / (np.linalg.norm(moved[k]) * np.linalg.norm(gradient[k]))
+        assert cosine < -0.999
+    touched = set(own.tolist()) | other
+    still = [i for i in range(1 << s.buckets_log2) if i not in touched]
+    assert (one.embeddings[still] == start[still]).all() and (subword.train(texts, labels, s).embeddings == one.embeddings).all()
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifier_cases(spark, module):
+    """Null and empty texts, a very long one, null doc_id, repeated rows, clashing names, empty tables."""
+    schema = "doc_id bigint, text string, score string, held_out string"
+    rows = [(None, "fine words", "", ""), (1, None, "", ""), (2, "", "", ""), (3, "word " * 60_000, "", ""), (4, "same", "", ""), (4, "same", "", "")] + [(10 + i, f"{'good' if i % 2 else 'vile'} text {i}", "", "") for i in range(40)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(10 + i, i % 2, 1 - i % 2) for i in range(40)] + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    score = module.score_quality if module is quality else module.score_toxicity
+    got = score(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 4}) == 1
+    assert score(docs.limit(0), labels).collect() == [] and len({r["score"] for r in score(docs, labels.limit(0)).collect()}) == 1
+
+
 # --- registry and pipeline
 
 
@@ -287,3 +374,81 @@ def test_pipeline_stages(spark):
     assert hidden.columns == docs.columns and hidden.count() == docs.count()
     assert not [r for r in hidden.collect() if re.search(r"token = .[0-9a-f]{40}", r["text"] or "")]
     assert corpus_pipeline.run(spark, SMALL).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def jaccard_classes(texts):
+    """Smallest index of the component of each text by brute force; -1 without words."""
+    lower = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in lower]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(i) if sets[i] else -1 for i in range(len(texts))]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_pipeline_against_brute_force(spark):
+    """Every stage on what its predecessor kept, with nulls, copies, clashing names and a benchmark passage added to the table."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from weftjoin.llm import secret_scan
+    from weftjoin.llm.queries import tokenizer_path
+
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    first = base.filter("text IS NOT NULL").orderBy("doc_id").limit(3).collect()
+    extra = [(10**6, first[0]["text"]), (10**6 + 1, f"{first[1]['text']} {bench[0]['text']}"), (10**6 + 2, None), (10**6 + 3, ""), (10**6 + 4, first[2]["text"]), (10**6 + 5, f"{first[2]['text']} password = hunter22hunter")]
+    docs = base.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in extra], base.schema))
+    for name in ("hash", "row", "spans", "_id", "_hash", "sid", "clean", "changed", "size"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs = docs.cache()
+    model = quality.fit(docs, labels)
+    table = model.logits()
+    good = {r["doc_id"] for r in docs.collect() if subword.score((r["text"] or "").encode(), table, model.bias, model.settings) >= quality.THRESHOLD}
+    kept = corpus_pipeline.quality_classifier(spark, docs, SMALL)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(good)
+
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None) + [(10**6 + 2, None)]
+    classes = jaccard_classes([t for _, t in rows])
+    want = {i for k, (i, _) in enumerate(rows) if classes[k] in (k, -1)}
+    near = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == want and near.count() == len(want) < len(rows)
+
+    items = [w for w in (decontaminate.words(r["text"]).tolist() for r in bench) if len(w) >= decontaminate.LEAST]
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in items]
+
+    def covered(text):
+        w = decontaminate.words(text).tolist()
+        own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return any(own & r and brute_coverage(w, i) / len(i) >= decontaminate.THRESHOLD for r, i in zip(runs, items, strict=True))
+
+    clean = corpus_pipeline.decontamination(spark, docs, SMALL)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, t in rows if not covered(t)}
+
+    spans = {(r["doc_id"]): [s.split(":") for s in r["spans"].split(",") if s] for r in secret_scan.secret_digest(docs).collect()}
+    hidden = {r["doc_id"]: r for r in corpus_pipeline.secrets(spark, docs, SMALL).collect()}
+    for i, t in rows:
+        out, at = "", 0
+        for _, a, b in spans[i]:
+            if int(a) >= at:
+                out += t[at : int(a)] + "[REDACTED]"
+            at = max(at, int(b))
+        assert hidden[i]["text"] == (None if t is None else out + t[at:]) and hidden[i]["_hash"] == "_hash"
+
+    library, pieces = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), Counter()
+    for r in corpus_pipeline.packed(spark, docs, SMALL).collect():
+        pieces[r["doc_id"]] += r["length"]
+    assert pieces == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0, name

@@ -209,17 +209,17 @@ def _judged(documents: DataFrame, block: DataFrame, least: int, threshold: float
     return python_rows(documents, run, schema)
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
+def _keyed(documents: DataFrame, *more) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select("*", F.xxhash64(text).alias("_weft_hash"), F.octet_length(text).alias("_weft_size"))
+    return documents.select("doc_id", F.xxhash64(text).alias("hash"), F.octet_length(text).alias("size"), *more)
 
 
 def _same(k: str, m: str):
-    return F.col(f"{k}.doc_id").eqNullSafe(F.col(f"{m}.doc_id")) & (F.col(f"{k}._weft_hash") == F.col(f"{m}._weft_hash")) & (F.col(f"{k}._weft_size") == F.col(f"{m}._weft_size"))
+    return F.col(f"{k}.doc_id").eqNullSafe(F.col(f"{m}.doc_id")) & (F.col(f"{k}.hash") == F.col(f"{m}.hash")) & (F.col(f"{k}.size") == F.col(f"{m}.size"))
 
 
 def _over_blocks(documents: DataFrame, blocks: list[DataFrame], least: int, threshold: float) -> DataFrame:
-    """What the blocks tell of documents with a seed: doc_id, _weft_hash, _weft_size, contaminated, b (best item), items.
+    """What the blocks tell of documents with a seed: doc_id, hash, size, contaminated, b (best item), items.
 
     One scan sends the texts that hit the filter of all seeds to the shared folder; only those are judged, block by block.
     """
@@ -227,7 +227,7 @@ def _over_blocks(documents: DataFrame, blocks: list[DataFrame], least: int, thre
     for block in blocks:  # one at a time on the driver
         of_all.add(Seeds([(r["item_id"], r["text"]) for r in block.collect()], least))
     shared = documents.sparkSession.sparkContext.broadcast(of_all)
-    keyed = _keyed(documents.select("doc_id", "text"))
+    keyed = _keyed(documents, "text")
     candidates = stored(rows_by_text(keyed, lambda texts: [shared.value.hits(t, least) for t in texts]))
     union = None
     for block in blocks:
@@ -235,7 +235,7 @@ def _over_blocks(documents: DataFrame, blocks: list[DataFrame], least: int, thre
         union = found if union is None else union.unionByName(found)
     best = F.max_by(F.struct("item_id", "coverage", "n_tiles"), F.struct("coverage", (-F.col("item_id")).alias("i")))
     items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    return union.groupBy("doc_id", "_weft_hash", "_weft_size").agg(F.max("contaminated").alias("contaminated"), best.alias("b"), items)
+    return union.groupBy("doc_id", "hash", "size").agg(F.max("contaminated").alias("contaminated"), best.alias("b"), items)
 
 
 def find_contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -243,7 +243,7 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, least: int = L
     blocks = _blocks(benchmark, block_bytes)
     if len(blocks) == 1:
         return _judged(documents.select("doc_id", "text"), blocks[0], least, threshold)
-    k, m = _keyed(documents.select("doc_id", "text")).drop("text").alias("k"), _over_blocks(documents, blocks, least, threshold).alias("m")
+    k, m = _keyed(documents).alias("k"), _over_blocks(documents, blocks, least, threshold).alias("m")
     joined = k.join(m, _same("k", "m"), "left")
     return joined.select(
         "k.doc_id", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), "b.item_id", F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"),
@@ -256,6 +256,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, least: int =
     blocks = _blocks(benchmark, block_bytes)
     if len(blocks) > 1:
         bad = _over_blocks(documents, blocks, least, threshold).filter("contaminated").alias("m")
-        return _keyed(documents).alias("k").join(bad, _same("k", "m"), "left_anti").select(*[F.col(f"k.`{c}`") for c in documents.columns])
+        rows = _keyed(documents, F.struct("*").alias("row")).alias("k")  # in one column, so that no name can clash
+        return rows.join(bad, _same("k", "m"), "left_anti").select("k.row.*")
     seeds = documents.sparkSession.sparkContext.broadcast(Seeds(sorted((r["item_id"], r["text"]) for r in blocks[0].collect()), least))
     return rows_by_text(documents, lambda texts: [all(c < threshold for _, c, _ in seeds.value.coverages(t)) for t in texts])

@@ -139,21 +139,22 @@ def secret_digest(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(documents: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
     """The documents with every reported span replaced by ``mark``; overlapping spans get one mark, and n_chars, if there, is the new length."""
-    found = spans_by_document(documents, scope).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_secret_spans"))
+    found = spans_by_document(documents, scope).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "spans")
     text = F.coalesce("text", F.lit(""))
-    keyed = documents.withColumn("_text_hash", F.xxhash64(text, F.char_length(text)))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    # the input's columns travel in one, so that none can clash with those made here
+    rows = documents.select(F.struct("*").alias("row"), F.xxhash64(text, F.char_length(text)).alias("own_hash"))
+    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.col("own_hash") == F.col("of_hash")), "left")
+    start, text = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), F.col("row.text")
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
-        kept = F.when(fresh, F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        kept = F.when(fresh, F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
 
-    clean = F.aggregate("_secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    changed = F.col("_secret_spans").isNotNull()
-    out = joined.withColumn("_clean", F.when(changed, clean))
-    new = {"text": F.coalesce("_clean", "text")}
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    changed = F.col("spans").isNotNull()
+    out = joined.select("row", changed.alias("changed"), F.when(changed, clean).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(changed, F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
+        new["n_chars"] = F.when(F.col("changed"), F.char_length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in documents.columns])

@@ -1,11 +1,13 @@
 """Components, n-gram Jaccard join, embedding near-duplicates."""
 
+import os
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftjoin.llm import components, jaccard_join, near_vectors
 
@@ -302,3 +304,30 @@ def test_vector_recall_where_centring_widens_angles(spark, kind):
 def test_table_sizes_follow_the_data():
     small, large = near_vectors.size_tables(1000, 0.95, 0.95), near_vectors.size_tables(10**9, 0.95, 0.95)
     assert small[0] < large[0] and small[1] < large[1]
+
+
+def test_vectors_that_share_a_digest_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "digest", lambda c: F.size(c).cast("long"))
+    got, _ = check_vectors(spark, [(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (3, [1.0, 0.0], "x"), (4, [1.0, 0.0, 0.0], "x")])
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
+
+
+def test_vectors_without_id_and_with_clashing_columns(spark):
+    rows = [(None, [1.0, 2.0], 1, 1), (5, [1.0, 2.0], 1, 1), (None, None, 1, 1), (6, [1.0, 2.0], 1, 1), (6, [1.0, 2.0], 1, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, n_links int, cls int")
+    got = sorted(str((r["vec_id"], r["n_links"], r["component_id"])) for r in near_vectors.near_vectors(df).collect())
+    assert got == ["(5, 3, 5)", "(6, 3, 5)", "(6, 3, 5)", "(None, 0, None)", "(None, 3, 5)"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_of_pairs_planted_among_the_vectors(spark):
+    """Vectors at cosine 0.95 to 0.96 from rows of the table, which the rotation never saw: its sample is other rows."""
+    x = unit(np.stack(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toPandas()["embedding"].to_list()).astype(np.float64))
+    rng = np.random.default_rng(4)
+    model = near_vectors.learn(x[1000:], x.shape[1], 50_000, 0.95, 0.95)
+    base = x[:1000]
+    off = rng.standard_normal(base.shape)
+    off = unit(off - (off * base).sum(axis=1, keepdims=True) * base)
+    cosine = rng.uniform(0.95, 0.96, (len(base), 1))
+    near = cosine * base + np.sqrt(1 - cosine**2) * off
+    assert model.bits > 4 and (model.keys(base) == model.keys(near)).any(axis=1).mean() >= 0.9

@@ -1,6 +1,6 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, rerank with the original vectors.
 
-Vectors with equal components are one class, carried once with its size.  On a bounded sample of classes
+Vectors with equal components are one class, carried once with its size; a second digest keeps unlike vectors with one digest apart.  On a bounded sample of classes
 principal directions and a rotation are learned that make balanced binary codes; each of several tables
 takes one substring of the code, and vectors whose substring in some table is equal are compared.  The
 substrings are as long as the number of classes asks for, so that a table's buckets hold few unlike
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm.components import components
@@ -200,15 +200,27 @@ def _stream_blocks(batches, threshold: float, kind: str):
         yield _block_links(held, threshold, kind)
 
 
+def digest(column: str) -> Column:
+    return F.xxhash64(column)
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
     item = embeddings.schema["embedding"].dataType.elementType.simpleString()
     kind = "<f4" if item == "float" else "<f8"
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = embeddings.select("vec_id", F.when(good, F.xxhash64("embedding")).alias("cls"), "embedding")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding"))
-    classes = durable(classes)
+    second = F.xxhash64(F.lit(1), "embedding")
+
+    def classed(cls) -> tuple[DataFrame, DataFrame]:
+        rows = embeddings.select("vec_id", F.when(good, cls).alias("cls"), "embedding")
+        facts = [F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding"), F.min(second).alias("low"), F.max(second).alias("high")]
+        return rows, durable(rows.filter("cls IS NOT NULL").groupBy("cls").agg(*facts))
+
+    rows, classes = classed(digest("embedding"))
+    shared = [r["cls"] for r in classes.filter("low != high").select("cls").collect()]  # unlike vectors of one digest: about n^2 / 2^65
+    if shared:
+        rows, classes = classed(F.when(digest("embedding").isin(*shared), second).otherwise(digest("embedding")))
     n = classes.count()
     drawn = [np.asarray(r["embedding"], dtype=kind) for r in classes.orderBy("cls").limit(sample).select("embedding").collect()]
     lengths = [len(v) for v in drawn]

@@ -2,7 +2,7 @@
 
 The cache is a Parquet folder of (version, digest, n_tokens): ``digest`` is the SHA-256 of the
 normalised text (null becomes empty; nothing else may change, as the counts are of the text as it
-is), ``version`` that of the tokenizer's file.  Stored counts are joined, only distinct missing
+is), ``version`` that of the tokenizer's file.  Stored counts of the documents' distinct digests are joined, only distinct missing
 digests are encoded, and their counts are appended.  Appending is one committed write, so a lost
 executor or a failed run leaves no partial counts; a digest stored twice by two runs at once counts once.
 
@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import python_rows
+from weftjoin.llm.support import python_rows, stored
 
 LIMIT = 4096
+_CACHE = "version string, digest binary, n_tokens bigint"
 #: Entries of a worker's memory of segment counts, and the longest segment that it keeps.
 MEMO_ENTRIES, MEMO_LENGTH = 300_000, 48
 _SPACE = "▁"
@@ -102,19 +103,24 @@ def count_tokens(documents: DataFrame, model_path: str, cache_path: str, limit:
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
 
-    def stored() -> DataFrame:
-        rows = spark.read.schema("version string, digest binary, n_tokens bigint").parquet(cache_path)
-        return rows.filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-
     texts = documents.select(digest, text.alias("text"))
+    counts = None
     if _exists(spark, cache_path):
-        texts = texts.join(stored().select("digest"), "digest", "left_anti")
+        cache = spark.read.schema(_CACHE).parquet(cache_path).filter(F.col("version") == version)
+        wanted = texts.select("digest").distinct()
+        counts = stored(cache.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+        texts = texts.join(counts, "digest", "left_anti")
     misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches):
         for b in batches:
             yield pd.DataFrame({"version": version, "digest": b["digest"], "n_tokens": counter(model_path).counts(b["text"].tolist())})
 
-    python_rows(misses, encode, "version string, digest binary, n_tokens bigint").write.mode("append").parquet(cache_path)
+    fresh = stored(python_rows(misses, encode, _CACHE))
+    if fresh.take(1):
+        fresh.write.mode("append").parquet(cache_path)
+    fresh = fresh.select("digest", "n_tokens")
+    counts = fresh if counts is None else counts.unionByName(fresh)
     keyed = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest)
-    return keyed.join(stored(), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # a row for each digest on one side: the rows of a text that many documents have can be split
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -68,6 +68,51 @@ GOLDENS = [
     ),
 ]
 
+GOLDENS += [
+    (
+        ("ci", "rt", ("mc", "t", "ct", "cn"), "chn"),
+        ["ci.movie_id=mc.movie_id", "ci.movie_id=t.id", "ci.role_id=rt.id", "mc.movie_id=t.id", "mc.company_type_id=ct.id", "mc.company_id=cn.id", "ci.person_role_id=chn.id"],
+        "π(FJ(ci rt FJ(mc t ct cn) chn))",
+        ["[(mc.company_id mc.company_type_id mc.movie_id)(t.id)(ct.id)(cn.id)]", "[(ci.movie_id ci.person_role_id ci.role_id)(rt.id)(mc.movie_id t.id)(chn.id)]"],
+    ),
+    (
+        ("ci", "n", ("mi", ("t", "mi_idx"), "it2", "it1")),
+        ["ci.person_id=n.id", "ci.movie_id=mi.movie_id", "mi.movie_id=t.id", "t.id=mi_idx.movie_id", "mi_idx.info_type_id=it2.id", "mi.info_type_id=it1.id"],
+        "π(FJ(ci n FJ(mi FJ(t mi_idx) it2 it1)))",
+        ["[(t.id)(mi_idx.movie_id)]", "[(mi.info_type_id mi.movie_id)(t.id mi_idx.movie_id)(it1.id)] [(mi_idx.info_type_id)(it2.id)]", "[(ci.movie_id ci.person_id)(n.id)(mi.movie_id t.id mi_idx.movie_id)]"],
+    ),
+    (
+        ("mi", ("mk", "t"), "k"),
+        ["mi.movie_id=t.id", "mk.movie_id=t.id", "mk.keyword_id=k.id"],
+        "π(FJ(mi FJ(mk t) k))",
+        ["[(mk.movie_id)(t.id)]", "[(mi.movie_id)(mk.movie_id t.id)] [(mk.keyword_id)(k.id)]"],
+    ),
+    (
+        ("mk", "t", "mi_idx", "k", "it"),
+        ["mk.movie_id=t.id", "mk.movie_id=mi_idx.movie_id", "mk.keyword_id=k.id", "mi_idx.info_type_id=it.id"],
+        "π(FJ(mk t mi_idx k it))",
+        ["[(mk.keyword_id mk.movie_id)(t.id)(mi_idx.movie_id)(k.id)] [(mi_idx.info_type_id)(it.id)]"],
+    ),
+    (
+        ("mi", "t", "mc", "it", "ct"),
+        ["mi.movie_id=t.id", "mi.movie_id=mc.movie_id", "mi.info_type_id=it.id", "mc.company_type_id=ct.id"],
+        "π(FJ(mi t mc it ct))",
+        ["[(mi.info_type_id mi.movie_id)(t.id)(mc.movie_id)(it.id)] [(mc.company_type_id)(ct.id)]"],
+    ),
+    (
+        ("ci", "n", ("mk", "t", "k")),
+        ["ci.person_id=n.id", "ci.movie_id=mk.movie_id", "mk.movie_id=t.id", "mk.keyword_id=k.id"],
+        "π(FJ(ci n FJ(mk t k)))",
+        ["[(mk.keyword_id mk.movie_id)(t.id)(k.id)]", "[(ci.movie_id ci.person_id)(n.id)(mk.movie_id t.id)]"],
+    ),
+    (
+        ("ci", "n", ("mc", "cn"), "rt", "t", "an"),
+        ["ci.person_id=n.id", "mc.company_id=cn.id", "ci.movie_id=mc.movie_id", "ci.role_id=rt.id", "ci.movie_id=t.id", "n.id=an.person_id"],
+        "π(FJ(ci n FJ(mc cn) rt t an))",
+        ["[(mc.company_id)(cn.id)]", "[(ci.movie_id ci.person_id ci.role_id)(n.id)(mc.movie_id)(rt.id)(t.id)(an.person_id)]"],
+    ),
+]
+
 
 @pytest.mark.parametrize("shape,equalities,hybrid,expected", GOLDENS)
 def test_fully_active_goldens(shape, equalities, hybrid, expected):
@@ -83,6 +128,20 @@ def test_canonical_and_active_keep_bound_columns_as_probes():
     assert plans(("r", "s", "t"), triangle, "active")[1] == ["[(r.x r.y)(s.y)] [(s.z)(t.x t.z)]"]
 
 
+def test_factored_moves_probes_to_where_they_are_bound():
+    triangle = ["r.x=t.x", "r.y=s.y", "s.z=t.z"]
+    assert plans(("r", "s", "t"), triangle, "factored")[1] == ["[(r.x r.y)(s.y)] [(s.z)(t.x t.z)]"]  # z is bound in the last node only
+    late = ["r.x=s.x", "s.y=u.y", "r.x=v.x"]
+    assert plans(("r", "s", "u", "v"), late, "canonical")[1] == ["[(r.x)(s.x)] [(s.y)(u.y)(v.x)]"]
+    assert plans(("r", "s", "u", "v"), late, "factored")[1] == ["[(r.x)(s.x)(v.x)] [(s.y)(u.y)]"]
+
+
+def test_bounds_of_many_relations_are_quick():
+    assert math.isclose(agm.bound(agm.star(14), [10] * 14), 10**14, rel_tol=1e-9)
+    assert math.isclose(agm.bound(agm.clique(8), [100] * 28), 100**4, rel_tol=1e-9)
+    assert math.isclose(agm.bound(agm.clique(3), [10, 10, 10**6]), 100, rel_tol=1e-9)
+
+
 def test_cover_marks_and_statistics():
     node = flatten(tree(("t", "a", "b"), ["t.id=a.id", "t.id=b.id"]))
     plan = fjplan.fully_active(node, Variables(equalities_under(node)))

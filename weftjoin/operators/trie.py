@@ -3,7 +3,7 @@
 The trie of an input is one row per key of its first level; the deeper levels are arrays, nested once for
 each further level, and a leaf is an array of payload rows.  A join with a trie therefore never multiplies
 rows.  A node opens one level of the inputs that it concerns: the cover is exploded, and the others are
-narrowed to the entry with the same key.  Leaves are exploded last, so repeated combinations come out as
+narrowed to the entry with the same key; of several covers the keys that all have are exploded.  Leaves are exploded last, so repeated combinations come out as
 often as in a chain of joins.
 
 A group is one row, so a group of more than ``LARGEST_GROUP`` rows is split into several rows of that size
@@ -53,6 +53,10 @@ def _narrowed(entries: Column, keys: list[str]) -> Column:
     return F.get(F.filter(entries, same), F.lit(0))["rest"]
 
 
+def _keys(source: int, names: list[str]) -> Column:
+    return F.transform(F.col(f"rest{source}"), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+
 def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
     levels = plan.trie_levels()
     usable = [i for i in range(1, len(inputs)) if i in levels and all(levels[i])]
@@ -65,13 +69,21 @@ def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
     for node in plan.nodes:
         if 0 not in (a.source for a in node):
             begun = [a for a in node if depth[a.source]]
-            cover = next((a for a in begun if a.cover), begun[0] if begun else None)
-            if cover is None:
+            covers = [a for a in begun if a.cover] or begun[:1]
+            if not covers:
                 return native.run(plan, inputs)
-            rest, names = f"rest{cover.source}", [var(v) for v in cover.variables]
-            df = df.withColumn("_e", F.explode(rest))
-            df = df.select(*[c for c in df.columns if c not in (rest, "_e")], *[F.col(f"_e.{n}").alias(n) for n in names], F.col("_e.rest").alias(rest))
-            depth[cover.source] += 1
+            cover, names = covers[0], [var(v) for v in covers[0].variables]
+            if len(covers) > 1:  # only keys that all of them have go on, and which one is iterated is chosen row by row
+                keys = _keys(covers[0].source, names)
+                for c in covers[1:]:
+                    keys = smaller_first(keys, _keys(c.source, names))
+                df, cover = df.withColumn("_e", F.explode(keys)), None
+                df = df.select(*[c for c in df.columns if c != "_e"], *[F.col(f"_e.{n}").alias(n) for n in names])
+            else:
+                rest = f"rest{cover.source}"
+                df = df.withColumn("_e", F.explode(rest))
+                df = df.select(*[c for c in df.columns if c not in (rest, "_e")], *[F.col(f"_e.{n}").alias(n) for n in names], F.col("_e.rest").alias(rest))
+                depth[cover.source] += 1
         else:
             cover = node[0]
         for a in node:

@@ -117,10 +117,12 @@ def _sets_and_reports(batches, k: int):
     pool, held = [], 0
 
     def report() -> pd.DataFrame:
-        values, times = np.unique(np.concatenate(pool), return_counts=True)
-        often = times >= REPORTED
-        blank = pd.array([None] * int(often.sum()), dtype="Int64")
-        return pd.DataFrame({"kind": 1, "doc_id": blank, "n": times[often], "value": values[often].view(np.int64), "second": blank, "bands": None, "bits": None})
+        held = np.concatenate(pool)
+        pool.clear()
+        held.sort()
+        values, times = np.unique(held[: -REPORTED + 1][held[: -REPORTED + 1] == held[REPORTED - 1 :]], return_counts=True)  # as often as REPORTED, and how often beyond
+        blank = pd.array([None] * len(values), dtype="Int64")
+        return pd.DataFrame({"kind": 1, "doc_id": blank, "n": times + (REPORTED - 1), "value": values.view(np.int64), "second": blank, "bands": None, "bits": None})
 
     for whole in batches:
         for at in range(0, len(whole), 500):
@@ -135,7 +137,7 @@ def _sets_and_reports(batches, k: int):
             held += sum(n)
             if held >= CHUNK_SHINGLES:
                 yield report()
-                pool, held = [], 0
+                held = 0
     if pool:
         yield report()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm import subword
-from weftjoin.llm.support import crc_mod, python_rows, rows_by_text, utf8
+from weftjoin.llm.support import crc_mod, give_back, python_rows, rows_by_text, utf8
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], s: subword.Settings) -> tuple[list[bytes], list[int]]:
@@ -40,8 +38,7 @@ def fitted(documents: DataFrame, labels: DataFrame, label: str, fold: tuple[int,
     model = subword.train(texts, y, s)
     del texts, y
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    give_back()
     return model
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 #: Code points that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Bytes of a batch that goes to a Python worker, and Spark's setting for it.
+BATCH_BYTES, _BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,13 +70,33 @@ def _ship(spark: SparkSession) -> None:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(archive)
+    now = str(spark.conf.get(_BATCH_CONF, None) or "").rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # long texts make batches of rows large
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     sc._weftjoin_shipped = True
 
 
+def give_back() -> None:
+    """Hand memory that isn't used any more back to the system: workers live on, one for each core."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _tidy(function):
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def python_rows(df: DataFrame, function, schema) -> DataFrame:
     """``mapInPandas`` with this package at hand on the executors."""
     _ship(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    return df.mapInPandas(_tidy(function), schema)
 
 
 def rows_by_text(df: DataFrame, keep) -> DataFrame:
@@ -82,7 +107,7 @@ def rows_by_text(df: DataFrame, keep) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(keep(b.column("text").to_pylist()), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(_tidy(run), df.schema)
 
 
 def crc_mod(column: str, divisor: int):

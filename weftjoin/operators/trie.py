@@ -41,30 +41,41 @@ def build(df: DataFrame, levels: list[list[str]], payload: list[str], largest: i
     return df.drop(*part)
 
 
-def _narrowed(entries: Column, keys: list[str]) -> Column:
-    """The ``rest`` of the entry whose keys are the row's own columns; null if there is none."""
+def _key(names: list[str], column) -> Column:
+    return column(names[0]) if len(names) == 1 else F.struct(*[column(n).alias(n) for n in names])
 
-    def same(x: Column) -> Column:
-        test = F.lit(True)
-        for k in keys:
-            test = test & (x[k] == F.col(k))
+
+def _as_map(entries: Column, levels: list[list[str]]) -> Column:
+    """Nested entries as a map by key, so that an entry is found without a look at the others' contents; null keys join with nothing."""
+    names = levels[0]
+
+    def known(x: Column) -> Column:
+        test = x[names[0]].isNotNull()
+        for n in names[1:]:
+            test = test & x[n].isNotNull()
         return test
 
-    return F.get(F.filter(entries, same), F.lit(0))["rest"]
+    inner = lambda x: _as_map(x["rest"], levels[1:]) if levels[1:] else x["rest"]
+    return F.map_from_entries(F.transform(F.filter(entries, known), lambda x: F.struct(_key(names, lambda n: x[n]).alias("key"), inner(x).alias("rest"))))
 
 
-def _keys(source: int, names: list[str]) -> Column:
-    return F.transform(F.col(f"rest{source}"), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+def _opened(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """``df`` with the columns of a key that is in ``_k``."""
+    kept = [c for c in df.columns if c not in ("_k", "_v")]
+    return df.select(*kept, *([F.col("_k").alias(names[0])] if len(names) == 1 else [F.col(f"_k.{n}").alias(n) for n in names]), *more)
 
 
 def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
     levels = plan.trie_levels()
     usable = [i for i in range(1, len(inputs)) if i in levels and all(levels[i])]
     complete = all({v for level in levels.get(i, []) for v in level} == set(inputs[i].variables) for i in usable)
-    if len(usable) < len(inputs) - 1 or not complete:
+    kinds = [{dict(i.df.dtypes)[var(v)] for i in inputs if v in i.variables} for v in merged(inputs)[0]]
+    if len(usable) < len(inputs) - 1 or not complete or any(len(k) > 1 for k in kinds):  # keys of different types are compared by Catalyst's rules
         return native.run(plan, inputs)
     largest = LARGEST_GROUP if largest is None else largest
+    names_of = {i: [[var(v) for v in sorted(level)] for level in levels[i]] for i in usable}
     tries = {i: build(inputs[i].df, [[var(v) for v in level] for level in levels[i]], [a.column for a in inputs[i].payload], largest) for i in usable}
+    tries = {i: t.withColumn("rest", _as_map(F.col("rest"), names_of[i][1:])) if names_of[i][1:] else t for i, t in tries.items()}
     df, depth = inputs[0].df, dict.fromkeys(usable, 0)
     for node in plan.nodes:
         if 0 not in (a.source for a in node):
@@ -72,27 +83,26 @@ def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
             covers = [a for a in begun if a.cover] or begun[:1]
             if not covers:
                 return native.run(plan, inputs)
-            cover, names = covers[0], [var(v) for v in covers[0].variables]
+            cover, names = covers[0], [var(v) for v in sorted(covers[0].variables)]
             if len(covers) > 1:  # only keys that all of them have go on, and which one is iterated is chosen row by row
-                keys = _keys(covers[0].source, names)
+                keys = F.map_keys(f"rest{covers[0].source}")
                 for c in covers[1:]:
-                    keys = smaller_first(keys, _keys(c.source, names))
-                df, cover = df.withColumn("_e", F.explode(keys)), None
-                df = df.select(*[c for c in df.columns if c != "_e"], *[F.col(f"_e.{n}").alias(n) for n in names])
+                    keys = smaller_first(keys, F.map_keys(f"rest{c.source}"))
+                df, cover = _opened(df.withColumn("_k", F.explode(keys)), names), None
             else:
                 rest = f"rest{cover.source}"
-                df = df.withColumn("_e", F.explode(rest))
-                df = df.select(*[c for c in df.columns if c not in (rest, "_e")], *[F.col(f"_e.{n}").alias(n) for n in names], F.col("_e.rest").alias(rest))
+                df = df.select("*", F.explode(rest).alias("_k", "_v")).drop(rest)
+                df = _opened(df, names, F.col("_v").alias(rest))
                 depth[cover.source] += 1
         else:
             cover = node[0]
         for a in node:
             if a is cover or a.source == 0:
                 continue
-            names = [var(v) for v in a.variables]
+            names = [var(v) for v in sorted(a.variables)]
             rest = f"rest{a.source}"
             if depth[a.source]:
-                df = df.withColumn(rest, _narrowed(F.col(rest), names)).filter(F.col(rest).isNotNull())
+                df = df.withColumn(rest, F.try_element_at(F.col(rest), _key(names, F.col))).filter(F.col(rest).isNotNull())
             else:
                 df = native.join_pair(df, {*a.variables}, Input(tries[a.source].withColumnRenamed("rest", rest), a.variables, ()))
             depth[a.source] += 1
@@ -107,10 +117,3 @@ def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
 def smaller_first(a: Column, b: Column) -> Column:
     """Distinct common elements of two arrays, row by row iterating the smaller against a hash of the larger: the cover choice at run time."""
     return F.when(F.size(a) <= F.size(b), F.array_intersect(a, b)).otherwise(F.array_intersect(b, a))
-
-
-def factorised_min(df: DataFrame, keys: list[str], value: str, other: DataFrame, other_keys: list[str]) -> DataFrame:
-    """MIN of ``value`` over an inner join without making the join's rows: leaves are reduced before they meet."""
-    reduced = df.groupBy(*keys).agg(F.min(value).alias("least"))
-    present = other.select(*[F.col(o).alias(k) for k, o in zip(keys, other_keys, strict=True)]).distinct()
-    return reduced.join(present, keys, "left_semi").agg(F.min("least").alias(f"min_{value}"))

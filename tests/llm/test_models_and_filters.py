@@ -344,6 +344,35 @@ def test_classifier_cases(spark, module):
     assert score(docs.limit(0), labels).collect() == [] and len({r["score"] for r in score(docs, labels.limit(0)).collect()}) == 1
 
 
+# --- shared folders
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from weftjoin.llm import support
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named or d), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None))
+
+    with pytest.raises(ValueError):
+        support.shared_dir(session("yarn"))
+    assert support.shared_dir(session("yarn", "hdfs://x/y")) == "hdfs://x/y"
+
+
+def test_scratch_tables_are_deleted(spark):
+    from weftjoin.llm import support
+
+    df = support.stored(spark.range(5))
+    path = support._scratch[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    kept = support._scratch[:-1]
+    support._scratch[:] = [path]
+    support._delete_scratch(spark)
+    support._scratch[:] = kept
+    assert not os.path.exists(path)
+
+
 # --- registry and pipeline
 
 

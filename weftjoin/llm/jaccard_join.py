@@ -49,8 +49,8 @@ PERCENT = 75
 CHUNK_SHINGLES, REPORTED, LEAST_FREQUENT = 4_000_000, 3, 6
 #: Frequent shingles at most (8 bytes each, broadcast), and parts that the entries of one are dealt to.
 MOST_FREQUENT, SALTS = 4_000_000, 64
-#: Band keys of a set, each of two minimum hashes.
-BANDS = 6
+#: Band keys of a set, each of two minimum hashes, and followers in a round from which on another round is worth its jobs.
+BANDS, PAYS = 6, 500
 #: Entries of a block of an index list.
 LIST_BLOCK = 64
 #: Ids of documents whose sets are fetched; up to so many (8 bytes each) go to the executors, more are joined by a shuffle.
@@ -330,7 +330,7 @@ def _followers(reps: DataFrame, percent: int) -> DataFrame | None:
         fresh = stored(_possible(pairs, reps, percent))
         found = fresh if found is None else found.unionByName(fresh)
         many, of = fresh.count(), tried.count()
-        if many * 16 <= of:
+        if many * 16 <= of or many < PAYS:
             return found
         gone = fresh.select(F.col("x").alias("sid")).unionByName(heads)
         keyed = stored(keyed.drop("weight").join(gone, "sid", "left_anti"))

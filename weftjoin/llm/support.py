@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
@@ -40,8 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, which is deleted when the driver's program ends."""
+    if not _scratch:
+        atexit.register(_delete_scratch, spark)
+    _scratch.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+_scratch: list[str] = []
+
+
+def _delete_scratch(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # Spark may have ended before
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for path in _scratch:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    _scratch.clear()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from weftjoin.api import Query
 from weftjoin.functions import analysis
 from weftjoin.functions import predicates as P
 from weftjoin.operators import graph, inputs, native, trie
-from weftjoin.operators.partitions import partition_counts
+from weftjoin.operators.partitions import partition_counts, portable_hash
 from weftjoin.plans import agm
 from weftjoin.sources.catalog import Catalog
 
@@ -320,12 +320,13 @@ def trie_build_depth2(spark, d):
     return t.select("l_orderkey", F.size("rest").cast("long").alias("n_keys"), leaves.alias("n_leaf"))
 
 
-@_query()
+@_query("SELECT (('0x' || substr(md5(l_orderkey::VARCHAR), 1, 8))::UBIGINT % 32)::INT AS slot, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_keys FROM lineitem GROUP BY 1")
 def trie_partition_counts(spark, d):
-    return partition_counts(_t(spark, d, "lineitem"), "l_orderkey")
+    return partition_counts(_t(spark, d, "lineitem"), "l_orderkey", hashed=portable_hash)
 
 
-@_query()
+@_query("""SELECT 'FJ(l o c s n)' AS "join", node, n_atoms, n_attributes, n_covers, atoms FROM (VALUES (0, 3, 4, 1, '(l.l_orderkey l.l_suppkey)(o.o_orderkey)(s.s_suppkey)'),
+(1, 2, 2, 2, '(o.o_custkey)(c.c_custkey)'), (2, 3, 3, 3, '(c.c_nationkey)(s.s_nationkey)(n.n_nationkey)')) AS t(node, n_atoms, n_attributes, n_covers, atoms)""")
 def plan_stats(spark, d):
     return _cycle(spark, d).explain_fj()
 

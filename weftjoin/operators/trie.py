@@ -25,9 +25,10 @@ LARGEST_GROUP = 100_000
 def build(df: DataFrame, levels: list[list[str]], payload: list[str], largest: int | None = None) -> DataFrame:
     """Key columns of the first level and ``rest``: an array of structs per level, then of payload structs.
 
-    With ``largest``, first-level keys of more rows have several rows; the count shares the shuffle that groups the rows.
+    Rows are dealt out by the first level once; all levels are then grouped where they are, as lists don't shrink before a shuffle.
+    With ``largest``, first-level keys of more rows have several rows, counted in the same place.
     """
-    part = []
+    df, part = df.repartition(*levels[0]), []
     if largest is not None:
         rows = F.count(F.lit(1)).over(Window.partitionBy(*levels[0]))
         spread = F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([*(c for level in levels for c in level), *payload])], F.monotonically_increasing_id())

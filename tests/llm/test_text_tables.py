@@ -251,7 +251,7 @@ def test_encoder_is_the_library(monkeypatch, slots):
     """Hostile texts in batches, with a table that is full at once and one that isn't; the first and the second time."""
     monkeypatch.setattr(packing, "SLOTS", slots)
     rnd = random.Random(slots)
-    words = ["it's", "I'LL", "we've'd", "'S", "'re", "''t", "\"'s", "!'ll", "'lla", "'dx", "1'm2", "Straße", "ÀÉÎ×Öß÷ÿ", "é́", "İ", "Σας", "字", "x" * 16, "y" * 17, "z" * 60, "12.5", "a1b", "...", "\x00", "\x1c\x85", " ", "<|endoftext|>", "<|", "\u2028", "ﬁ"]
+    words = ["it's", "I'LL", "we've'd", "'S", "'re", "''t", "\"'s", "!'ll", "'lla", "'dx", "1'm2", "Straße", "ÀÉÎ×Öß÷ÿ", "é́", "İ", "Σας", "字", "x" * 16, "y" * 17, "z" * 60, "12.5", "a1b", "...", "\x00", "\x1c", "\x1c\x00", "%", "%\x00\x00", "\x1c\x85", " ", "<|endoftext|>", "<|", "\u2028", "ﬁ"]
     texts = ["", " ", "'", *words] + [rnd.choice(["", " ", "\n"]).join(rnd.choices(words if i % 3 else words[:19], k=rnd.randrange(1, 30))) for i in range(400)]
     coder = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -263,6 +263,13 @@ def test_encoder_is_the_library(monkeypatch, slots):
     assert [x.tolist() for x in coder.encode(texts)] == want and coder.encode([]) == []
 
 
+def test_a_tokenizer_that_splits_otherwise_is_used_whole():
+    coder = packing.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["", "It's  two words\n", "É字"]
+    assert not coder.by_parts and [x.tolist() for x in coder.encode(texts)] == [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert packing.WordEncoder(tokenizer_path("word_bpe_49k.json")).by_parts
+
+
 def test_best_two_is_exhaustive():
     rnd = random.Random(3)
     for _ in range(500):

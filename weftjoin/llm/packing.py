@@ -84,13 +84,18 @@ def parts_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts[said], ends[said]
 
 
+#: Texts on which a tokenizer must agree with its parts before it is trusted to split as they do.
+_PROBES = ["It's We'LL, don't'd '' 're\n12x3 \tÀÉß ÿy... (a_b)!'s", "", " ", "Word word wordword", "\x1c\x00 a\x0bb"]
+
+
 class WordEncoder:
     """Ids of a word-end BPE whose pre-tokeniser lower-cases, drops white space and splits words, digits and marks, kept per part.
 
     Texts of ASCII and Latin letters are split by ``parts_of``, which says the same as the tokenizer, and parts of up to ``LONGEST`` bytes
     are looked up all at once in a table by their bytes.  In other texts, stretches between ASCII white space that hold any
     other character go to the library whole, and so do texts with a special string of the tokenizer.  All ids come from the library: many
-    parts in one call, with spaces between, told apart by the one token that ends each.  A full table starts over.
+    parts in one call, with spaces between, told apart by the one token that ends each.  A full table starts over.  A tokenizer that
+    splits ``_PROBES`` in another way encodes every text whole.
     """
 
     def __init__(self, path: str):
@@ -101,6 +106,7 @@ class WordEncoder:
         self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
+        self.by_parts = all(x.tolist() == y.tolist() for x, y in zip(self._plain(_PROBES), self._whole(_PROBES), strict=True))
 
     def clear(self) -> None:
         self.memo: dict[str, np.ndarray] = {}  # parts of mixed texts
@@ -143,13 +149,14 @@ class WordEncoder:
         words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
         low = words[starts] & _MASKS[np.minimum(length, 8)]
         high = words[starts + 8] & _MASKS[np.clip(length - 8, 0, 8)] if len(starts) else low
+        short = (length <= LONGEST) & (data[ends - 1] != 0)  # a zero at the end would look like none
         one, two = self._places(low, high)
         at = self.slot[one]
         for place in (None, two):
             if place is not None:
                 missed = np.flatnonzero(at == 0)
                 at[missed] = self.slot[place[missed]]
-            at[(self.low[at] != low) | (self.high[at] != high) | (length > LONGEST)] = 0
+            at[(self.low[at] != low) | (self.high[at] != high) | ~short] = 0
         missed = np.flatnonzero(at == 0)
         first, size, flat = self.first, self.size, self.flat
         first, size = first[at], size[at]
@@ -164,7 +171,7 @@ class WordEncoder:
             first[missed], size[missed] = firsts[which], sizes[which]
             flat = np.concatenate((flat, *ids))
             once = missed[np.unique(which, return_index=True)[1]]
-            self._keep(low[once], high[once], firsts, sizes, length[once] <= LONGEST, flat)
+            self._keep(low[once], high[once], firsts, sizes, short[once], flat)
         stops = np.cumsum(size)
         out = flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - stops + size, size)]
         text_ends = np.cumsum([len(r) + 1 for r in raws])
@@ -182,6 +189,8 @@ class WordEncoder:
         self.first, self.size, self.flat = np.concatenate((self.first, first)), np.concatenate((self.size, size)), flat
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_parts:
+            return self._whole(texts)
         plain = [i for i, t in enumerate(texts) if not ("<|" in t and any(s in t for s in self.special)) and (t.isascii() or not _OTHER.search(t))]
         out = dict(zip(plain, self._plain([texts[i] for i in plain]) if plain else [], strict=True))
         result = [out[i] if i in out else self._mixed(t) for i, t in enumerate(texts)]

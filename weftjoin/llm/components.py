@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftjoin.llm.support import durable
+from weftjoin.llm.support import dealt_anew, durable
 
 _ROUNDS = 60
 
@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
     lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(lowest, "a")
+    joined = both.join(dealt_anew(lowest, "a"), "a")
     if large:
         moved = joined.filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:

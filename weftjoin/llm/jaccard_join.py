@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.llm.components import components
-from weftjoin.llm.support import durable, mix64, python_rows, stored, utf8, window_hashes, words_of
+from weftjoin.llm.support import dealt_anew, durable, mix64, python_rows, stored, utf8, window_hashes, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -319,11 +319,11 @@ def _followers(reps: DataFrame, percent: int) -> DataFrame | None:
     keyed, found = stored(reps.select("sid", F.posexplode("bands").alias("t", "key"))), None
     while True:
         groups = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = keyed.join(groups, ["t", "key"])
+        sized = keyed.join(dealt_anew(groups, "key"), ["t", "key"])
         central = sized.groupBy("sid").agg(F.sum("size").alias("weight"))
         keyed = stored(sized.select("sid", "t", "key").join(central, "sid"))
         leads = keyed.groupBy("t", "key").agg(F.max(F.struct("weight", "sid")).alias("lead")).select("t", "key", "lead.weight", F.col("lead.sid").alias("lead"))
-        votes = keyed.drop("weight").join(leads, ["t", "key"]).filter("sid != lead").groupBy("sid", "lead").agg(F.max("weight").alias("weight"), F.count("*").alias("votes"))
+        votes = keyed.drop("weight").join(dealt_anew(leads, "key"), ["t", "key"]).filter("sid != lead").groupBy("sid", "lead").agg(F.max("weight").alias("weight"), F.count("*").alias("votes"))
         tried = stored(votes.groupBy("sid").agg(F.max_by("lead", F.struct("weight", "votes", "lead")).alias("lead")))
         heads = tried.select(F.col("lead").alias("sid")).distinct()
         pairs = tried.join(heads, "sid", "left_anti").select(F.col("sid").alias("x"), F.col("lead").alias("y"))
@@ -496,19 +496,22 @@ def _resolved(documents: DataFrame, k: int, percent: int, count_links: bool) ->
 
     edge = lambda df: df.select(F.col("x").alias("u"), F.col("y").alias("v"))
     sure = edge(families).unionByName(edge(judged.filter("linked")))
-    member = components(sure)
-    left = judged.filter("NOT linked")
-    for c in ("x", "y"):
-        left = left.join(member.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left")
-    left = stored(edge(left.filter("c_x IS NULL OR c_y IS NULL OR c_x != c_y")))
-    is_open = bool(left.take(1))
-    if is_open:  # classes that any link may join
-        wide = components(member.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(left))
-        touched = left.select(F.col("u").alias("id")).unionByName(left.select(F.col("v").alias("id"))).join(wide, "id").select("component").distinct()
-        within = _inside(wide if count_links else wide.join(touched, "component", "left_semi"), reps, sets, percent)
-        member = components(sure.unionByName(within.select(F.col("sid").alias("u"), F.col("root").alias("v"))))
-    elif count_links:
-        within = _inside(member, reps, sets, percent)
+    left = edge(judged.filter("NOT linked"))
+    if count_links:  # all pairs inside classes that any link may join; their links tell the classes
+        wide = components(sure.unionByName(left))
+        within = _inside(wide, reps, sets, percent)
+        member = components(within.select(F.col("sid").alias("u"), F.col("root").alias("v"))) if left.take(1) else wide
+    else:
+        member, within = components(sure), None
+        if left.take(1):
+            for c in ("u", "v"):
+                left = left.join(member.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left")
+            left = stored(left.filter("c_u IS NULL OR c_v IS NULL OR c_u != c_v").select("u", "v"))
+        if left.take(1):
+            wide = components(member.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(left))
+            touched = left.select(F.col("u").alias("id")).unionByName(left.select(F.col("v").alias("id"))).join(wide, "id").select("component").distinct()
+            within = _inside(wide.join(touched, "component", "left_semi"), reps, sets, percent)
+            member = components(sure.unionByName(within.select(F.col("sid").alias("u"), F.col("root").alias("v"))))
 
     known = reps.select("sid", "first_id", "set_size").join(member.withColumnRenamed("id", "sid"), "sid", "left")
     lowest = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("lowest"))
@@ -520,6 +523,7 @@ def _resolved(documents: DataFrame, k: int, percent: int, count_links: bool) ->
 
 
 def _by_document(rows: DataFrame, known: DataFrame, *more) -> DataFrame:
+    known = dealt_anew(known, "sid")
     out = rows.join(known, (rows["sid"] == known["sid"]) & (rows["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("set_size", F.lit(1)).alias("set_size"), *more)
 
@@ -542,7 +546,7 @@ def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """
     rows, known = _resolved(documents, k, percent, count_links=False)
     rows = rows.filter("doc_id IS NOT NULL")
-    joined = rows.join(known.select("sid", F.coalesce("component", "sid").alias("component")), "sid")
+    joined = rows.join(dealt_anew(known.select("sid", F.coalesce("component", "sid").alias("component")), "sid"), "sid")
     first = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("x")).select("x.doc_id", F.col("x.sid").alias("_set"))
     bare = rows.filter("n = 0").select("doc_id", F.lit(None).cast("bigint").alias("_set"))
     leads = durable(first.unionByName(bare))

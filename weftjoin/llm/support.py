@@ -73,6 +73,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with (bigint) keys of the same values that Spark doesn't take for the ones its rows lie by.
+
+    A join with a grouped or joined side otherwise uses that side's places, and then adaptive execution can't split the other
+    side's rows of a hot key; with this both sides are shuffled for the join alone, and it can.
+    """
+    return df.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("bigint")).alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
 def _ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application; Spark serves the archive to them."""
     sc = spark.sparkContext

@@ -32,9 +32,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that one task ranks, about.
 RANKED = 200_000
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 250_000, 48
 #: Characters of texts that are encoded together at once.
-BATCH_CHARACTERS = 1_000_000
+BATCH_CHARACTERS = 500_000
 _SPACES = r" \t\n\x0b\x0c\r"
 #: Any character but ASCII and the letters for which lower-casing is one character to one and no normalisation applies.
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")

@@ -5,7 +5,7 @@ import pytest
 
 from weftjoin.api import STRATEGIES, Query
 from weftjoin.operators import auto, hypercube, native, trie
-from weftjoin.operators.inputs import Input
+from weftjoin.operators.inputs import Input, prepare
 from weftjoin.plans import fjplan, leftmost
 
 
@@ -158,6 +158,28 @@ def test_shares_follow_sizes():
     assert hypercube.cells_for([1]) == hypercube.FEWEST and hypercube.cells_for([hypercube.CELL_BYTES * 100]) == 256
 
 
+def _trade(spark, n_customers=300):
+    """Orders of customers and suppliers of few nations, in sizes that Catalyst can tell."""
+    of = lambda n, *columns: spark.range(n).selectExpr(*columns)
+    t = {"l": of(4 * n_customers, "id % 600 AS o", "id % 211 AS s", "id AS x"), "o": of(2 * n_customers, "id AS o", f"id % {n_customers} AS c"), "c": of(n_customers, "id AS c", "id % 2 AS n"), "s": of(200, "id AS s", "id % 2 AS n"), "n": of(2, "id AS n")}
+    return Query(t).join("o.o=l.o", "o.c=c.c", "l.s=s.s", "c.n=s.n", "s.n=n.n").select("l.x", "c.c", "s.s")
+
+
+def _prepared(q, then):
+    return prepare(q.tree(), q.tables, q.variables, {a for a, _ in q.project}, q.options, then)
+
+
+def test_wide_inputs_wait(spark):
+    """Suppliers of a nation aren't met by every order of it before the orders' own lines are."""
+    seen = {}
+    _prepared(_trade(spark), lambda plan, inputs: seen.update(names=["".join(c for c in "locsn" if c in "".join(i.df.columns)) for i in inputs], order=native.probe_order(plan, inputs), inputs=inputs) or inputs[0])
+    of = {frozenset(i.variables): k for k, i in enumerate(seen["inputs"])}
+    widest = max(of.values(), key=lambda k: seen["order"].index(k))
+    assert any(a.binding == "s" for a in seen["inputs"][widest].payload)  # last, when all its variables are bound
+    want = bag(_trade(spark).plan(leftmost="default", kind="canonical").to_df())
+    assert want and all(bag(_trade(spark).plan(strategy=s).to_df()) == want for s in STRATEGIES)
+
+
 def test_explain(spark):
     t = {"r": frame(spark, "a", [(1,)]), "s": frame(spark, "a", [(1,)])}
     q = Query(t).join("r.a=s.a").select("s.a")

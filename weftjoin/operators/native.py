@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftjoin.operators.inputs import Input, merged, var
 from weftjoin.plans.fjplan import FJPlan
+from weftjoin.sources.catalog import estimated_rows
+
+#: Rows of an input for each key, by the estimates, from which on it waits for inputs that multiply rows less.
+WIDE = 16
+
+
+class Widths:
+    """How many rows of an input share a key, at least in the mean and as far as Catalyst's estimates tell; no job is started.
+
+    A variable has no more values that join than the smallest input that it is in has rows.
+    """
+
+    def __init__(self, inputs: list[Input]):
+        self.inputs, self.rows, self.values = inputs, [estimated_rows(i.df) for i in inputs], {}
+        for i, n in zip(inputs, self.rows, strict=True):
+            for v in i.variables if n is not None else ():
+                self.values[v] = min(n, self.values.get(v, n))
+
+    def of(self, i: int, bound: set[int]) -> float:
+        """1 if all variables of the input are bound, or if its size isn't known."""
+        shared, n = bound & set(self.inputs[i].variables), self.rows[i]
+        if n is None or shared == set(self.inputs[i].variables):
+            return 1.0
+        return max(1.0, n / math.prod(self.values[v] for v in shared))
 
 
 def probe_order(plan: FJPlan, inputs: list[Input]) -> list[int]:
     """Inputs in the order in which they meet the bound variables.
 
     Within a node, atoms of inputs all of whose variables are bound come first: they only filter or repeat
-    rows, while the others bring in further variables and are left for later.
+    rows, while the others bring in further variables and are left for later.  An input that has ``WIDE`` rows or more for what is bound
+    waits as long as any other, of later nodes too, multiplies the rows less.
     """
-    order, bound = [0], set(inputs[0].variables)
+    order, bound, widths = [0], set(inputs[0].variables), Widths(inputs)
     for node in plan.nodes:
-        waiting = [a.source for a in node if a.source not in order]
-        while waiting:
-            i = min(waiting, key=lambda s: (not set(inputs[s].variables) <= bound, waiting.index(s)))
-            waiting.remove(i)
+        while waiting := [s for s in dict.fromkeys(a.source for a in node) if s not in order]:
+            i = min(waiting, key=lambda s: (not set(inputs[s].variables) <= bound, widths.of(s, bound) >= WIDE, waiting.index(s)))
+            if widths.of(i, bound) >= WIDE:
+                near = [s for s in range(len(inputs)) if s not in order and bound & set(inputs[s].variables)]
+                i = min(near, key=lambda s: (widths.of(s, bound), s), default=i)
             order.append(i)
             bound |= set(inputs[i].variables)
     return order + [i for i in range(len(inputs)) if i not in order]

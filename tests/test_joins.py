@@ -180,6 +180,14 @@ def test_wide_inputs_wait(spark):
     assert want and all(bag(_trade(spark).plan(strategy=s).to_df()) == want for s in STRATEGIES)
 
 
+def test_tries_of_few_keys_are_not_carried(spark):
+    found = []
+    _prepared(_trade(spark), lambda plan, inputs: found.append({frozenset(inputs[i].variables): n for i, n in trie.merged_levels(plan, inputs).items()}) or inputs[0])
+    assert sorted(found[0].values()) == [1, 1, 1, 2]
+    plan = str(_trade(spark).plan(strategy="trie").to_df()._jdf.queryExecution().analyzed())
+    assert plan.count("map_from_entries") == 2  # of orders and of lines, not of suppliers
+
+
 def test_explain(spark):
     t = {"r": frame(spark, "a", [(1,)]), "s": frame(spark, "a", [(1,)])}
     q = Query(t).join("r.a=s.a").select("s.a")

@@ -7,7 +7,11 @@ narrowed to the entry with the same key; of several covers the keys that all hav
 often as in a chain of joins.
 
 A group is one row, so a group of more than ``LARGEST_GROUP`` rows is split into several rows of that size
-at most in the mean; a join adds up over them, so nothing else changes.  Planning starts no job.
+at most in the mean; a join adds up over them, so nothing else changes.
+
+What a row carries of a trie is its own copy, so a trie with many entries for each key of its first level (``native.WIDE``, by the
+estimates) isn't carried when another input can be iterated over its next level: both levels are then one, joined when all of
+it is bound.  Planning starts no job.
 """
 
 from __future__ import annotations
@@ -66,6 +70,22 @@ def _opened(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
     return df.select(*kept, *([F.col("_k").alias(names[0])] if len(names) == 1 else [F.col(f"_k.{n}").alias(n) for n in names]), *more)
 
 
+def merged_levels(plan: FJPlan, inputs: list[Input]) -> dict[int, int]:
+    """For each input but the first: how many of its levels are joined at once."""
+    at: dict[int, list[int]] = {}
+    for k, node in enumerate(plan.nodes):
+        for a in node:
+            at.setdefault(a.source, []).append(k)
+    levels, widths, out = plan.trie_levels(), native.Widths(inputs), {i: 1 for i in at if i}
+    for i in sorted(out, key=lambda i: -len(at[i])):
+        for m, k in enumerate(at[i][1:], 1):
+            other = any(a.cover and a.source not in (0, i) and at[a.source].index(k) >= out[a.source] for a in plan.nodes[k])
+            if not other or widths.of(i, {v for level in levels[i][:m] for v in level}) < native.WIDE:
+                break
+            out[i] = m + 1
+    return out
+
+
 def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
     levels = plan.trie_levels()
     usable = [i for i in range(1, len(inputs)) if i in levels and all(levels[i])]
@@ -74,6 +94,9 @@ def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
     if len(usable) < len(inputs) - 1 or not complete or any(len(k) > 1 for k in kinds):  # keys of different types are compared by Catalyst's rules
         return native.run(plan, inputs)
     largest = LARGEST_GROUP if largest is None else largest
+    at_once = merged_levels(plan, inputs)
+    waits = {i: at_once[i] - 1 for i in usable}  # levels that are passed before its trie is joined
+    levels |= {i: [tuple(v for level in levels[i][: at_once[i]] for v in level), *levels[i][at_once[i] :]] for i in usable}
     names_of = {i: [[var(v) for v in sorted(level)] for level in levels[i]] for i in usable}
     tries = {i: build(inputs[i].df, [[var(v) for v in level] for level in levels[i]], [a.column for a in inputs[i].payload], largest) for i in usable}
     tries = {i: t.withColumn("rest", _as_map(F.col("rest"), names_of[i][1:])) if names_of[i][1:] else t for i, t in tries.items()}
@@ -100,12 +123,16 @@ def run(plan: FJPlan, inputs: list[Input], largest: int | None = None) -> Input:
         for a in node:
             if a is cover or a.source == 0:
                 continue
+            if waits[a.source]:
+                waits[a.source] -= 1
+                continue
             names = [var(v) for v in sorted(a.variables)]
             rest = f"rest{a.source}"
             if depth[a.source]:
                 df = df.withColumn(rest, F.try_element_at(F.col(rest), _key(names, F.col))).filter(F.col(rest).isNotNull())
             else:
-                df = native.join_pair(df, {*a.variables}, Input(tries[a.source].withColumnRenamed("rest", rest), a.variables, ()))
+                first = levels[a.source][0]
+                df = native.join_pair(df, {*first}, Input(tries[a.source].withColumnRenamed("rest", rest), first, ()))
             depth[a.source] += 1
     for i in usable:
         rest, payload = f"rest{i}", [a.column for a in inputs[i].payload]

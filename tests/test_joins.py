@@ -188,6 +188,13 @@ def test_tries_of_few_keys_are_not_carried(spark):
     assert plan.count("map_from_entries") == 2  # of orders and of lines, not of suppliers
 
 
+def test_cells_share_columns(spark):
+    """A shuffled row has as many columns of a type as the widest input, not those of all inputs."""
+    q, widths = _trade(spark), []
+    _prepared(q, lambda plan, inputs: widths.append((max(len(i.df.columns) for i in inputs), len({x for s in hypercube._slots(inputs) for x in s.values()}))) or inputs[0])
+    assert widths[0][0] == widths[0][1]
+
+
 def test_explain(spark):
     t = {"r": frame(spark, "a", [(1,)]), "s": frame(spark, "a", [(1,)])}
     q = Query(t).join("r.a=s.a").select("s.a")

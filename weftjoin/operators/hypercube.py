@@ -10,6 +10,7 @@ without a shared variable's share is repeated, so a small one costs little and a
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,8 +23,9 @@ from weftjoin.plans import agm
 from weftjoin.plans.fjplan import FJPlan
 from weftjoin.sources.catalog import estimated_bytes
 
-#: Bytes of input that a cell should have, by Catalyst's estimates, and the fewest and most cells.
-CELL_BYTES, FEWEST, MOST = 64 << 20, 8, 1 << 20
+#: Bytes of input that a cell should have, by Catalyst's estimates, and the fewest and most cells.  An estimate is a share of the
+#: file's compressed bytes; the rows, which a worker holds at once, take about ten times as many.
+CELL_BYTES, FEWEST, MOST = 8 << 20, 8, 1 << 20
 
 
 def cells_for(sizes: list[int]) -> int:
@@ -61,6 +63,20 @@ def _celled(i: Input, share: dict[int, int]) -> Input:
     return Input(df.withColumn("_cell", cell).drop(*[f"_s{v}" for v, _ in free]), i.variables, i.payload)
 
 
+def _slots(inputs: list[Input]) -> list[dict[str, str]]:
+    """For each input the columns of the shuffled rows that its own go in: one for the first of a type, another for the second."""
+    out = []
+    for i in inputs:
+        used, names = Counter(), {}
+        for f in i.df.schema.fields:
+            kind = f.dataType.json()
+            names[f.name] = f"{kind}#{used[kind]}"
+            used[kind] += 1
+        out.append(names)
+    number = {slot: f"c{k}" for k, slot in enumerate(dict.fromkeys(slot for names in out for slot in names.values()))}
+    return [{c: number[slot] for c, slot in names.items()} for names in out]
+
+
 def _connected(inputs: list[Input], order: list[int]) -> bool:
     bound = set(inputs[order[0]].variables)
     for i in order[1:]:
@@ -81,21 +97,23 @@ def run(plan: FJPlan, inputs: list[Input], cells: int | None = None) -> Input:
     share = shares(list(variables), inputs, sizes, cells or cells_for(sizes))
     order = native.probe_order(plan, inputs)
     parts = [_celled(i, share) for i in inputs]
-    tagged = None
+    slots, tagged = _slots(inputs), None
     for k, p in enumerate(parts):
-        own = p.df.select("_cell", F.lit(k).alias("_k"), *[F.col(f"`{c}`").alias(f"r{k}_{c}") for c in inputs[k].df.columns])
+        own = p.df.select("_cell", F.lit(k).alias("_k"), *[F.col(f"`{c}`").alias(x) for c, x in slots[k].items()])
         tagged = own if tagged is None else tagged.unionByName(own, allowMissingColumns=True)
     fields = {f.name: f for i in inputs for f in i.df.schema.fields}
     names = [*map(var, variables), *(a.column for a in payload)]
     schema = StructType([StructField(n, fields[n].dataType) for n in names])
-    columns, has = [i.df.columns for i in inputs], [list(map(var, i.variables)) for i in inputs]
+    has = [list(map(var, i.variables)) for i in inputs]
 
     def local(cell: pa.Table) -> pa.Table:
-        rows = [cell.filter(pc.equal(cell["_k"], k)).select([f"r{k}_{c}" for c in columns[k]]).rename_columns(columns[k]) for k in range(len(columns))]
+        rows = [cell.select(list(x.values())).filter(pc.equal(cell["_k"], k)).rename_columns(list(x)) for k, x in enumerate(slots)]
         out, bound = rows[order[0]], set(has[order[0]])
         for k in order[1:]:
             out = out.join(rows[k], keys=[v for v in has[k] if v in bound], join_type="inner", use_threads=False)
             bound |= set(has[k])
+            rows[k] = None
+        pa.default_memory_pool().release_unused()
         return out.select(names)
 
     return Input(tagged.groupBy("_cell").applyInArrow(local, schema), variables, payload)

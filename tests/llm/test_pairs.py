@@ -135,6 +135,24 @@ def test_lists_give_the_pairs_that_may_link_in_any_batches_and_blocks(monkeypatc
         assert run(cuts) == whole
 
 
+@pytest.mark.parametrize("first", [2, 32])
+def test_pairs_of_long_lists_are_given_once(spark, monkeypatch, first):
+    """Families that meet in many lists, of sizes and positions of their own in each: the same pairs, and by the first list only."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 8)
+    monkeypatch.setattr(jaccard_join, "KNOWN_LISTS", first)
+    rnd = random.Random(4)
+    rows = [(t, f, n := rnd.randrange(40, 60), n + rnd.choice([0, 5]), rnd.randrange(12)) for t in range(-6, 6) for f in range(1, 5 if t == 3 else 40) if rnd.random() < 0.8]
+    lists = spark.createDataFrame(rows, "token bigint, fam bigint, lo int, hi int, pos int")
+    order = ["token", "lo", "pos", "fam"]
+    pairs = lambda df: [tuple(r) for p in jaccard_join._list_pairs([df.sort_values(order, ignore_index=True)], 75) for r in p.to_numpy().tolist()]
+    by_list = lambda df: [x for _, one in df.groupby("token") for x in pairs(one)]
+    plain, known = lists.toPandas(), jaccard_join._with_known(lists).toPandas()
+    assert len(known) == len(rows) and known["lists"].isna().sum() == (plain["token"] == 3).sum() > 0
+    assert set(pairs(known)) == set(pairs(plain)) and len(by_list(plain)) > 3 * len(set(pairs(plain)))
+    long = by_list(known[known["token"] != 3])
+    assert len(long) == len(set(long)) if first == 32 else len(set(long)) < len(long) < len(by_list(plain))
+
+
 def test_entries_that_meet_in_any_batches():
     import pandas as pd
 

@@ -11,7 +11,9 @@ leader try again among what is left while that pays.  A missed follower costs ti
 *Block skip.*  Shingles are ordered by (how frequent, hash), the rare ones first, and by the prefix principle two sets that link share a shingle
 among the first ``n - ceil(percent * n) + 1`` of each.  These prefixes are an inverted index whose entries are families: sizes from and to,
 first position.  A list is sorted by size and position and cut into blocks; two blocks whose sizes and positions rule a link out
-are skipped whole, else the pairs of entries that may link by theirs are candidates.
+are skipped whole, else the pairs of entries that may link by theirs are candidates.  Texts with a common passage meet in the list of each of
+its shingles, so the entries of long lists carry the first long lists of their family, and a pair is given by the first that both
+know of and whose sizes and positions let it pass.
 
 *Verification.*  Candidates meet bitmaps of their leaders' sets first, which bound the intersection from above, and what may still link
 meets whole sets.  Families whose leaders are too far apart for any of their members to link are dropped by the triangle inequality of
@@ -25,8 +27,8 @@ where families are left open.  Classes are dealt out as pairs of blocks of at mo
 *Scale.*  Shingles that reach ``REPORTED`` documents in a chunk of the input are reported, and the most frequent of these, ``MOST_FREQUENT``
 at most, are broadcast and come last in the order, the most frequent last of all, so lists are short but for sets that consist of frequent shingles
 mostly.  Any order gives the same result.  Entries of frequent shingles are spread over ``SALTS`` parts and aggregated by family
-before a list meets in one task.  Candidates within a list of mutually unlike families grow with the square of its
-length, and counting the links of a class of unlike sets with the square of its sets; nothing is capped.
+before a list meets in one task.  Candidates of a list of mutually unlike families grow with the square of its
+length, given once and not for each list that they share, and counting the links of a class of unlike sets with the square of its sets; nothing is capped.
 
 Cases: null and empty texts, and texts without words, have no set and link with nothing; with fewer than ``k``
 words the whole sequence is the one shingle; null doc_id is a row of its own (component null unless linked);
@@ -51,8 +53,8 @@ CHUNK_SHINGLES, REPORTED, LEAST_FREQUENT = 4_000_000, 3, 6
 MOST_FREQUENT, SALTS = 4_000_000, 64
 #: Band keys of a set, each of two minimum hashes, and followers in a round from which on another round is worth its jobs.
 BANDS, PAYS = 6, 500
-#: Entries of a block of an index list.
-LIST_BLOCK = 64
+#: Entries of a block of an index list, entries from which on a list is long, and long lists of a family that its entries know of.
+LIST_BLOCK, LONG_LIST, KNOWN_LISTS = 64, 64, 32
 #: Ids of documents whose sets are fetched; up to so many (8 bytes each) go to the executors, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Sets and shingles of a block of a class, and sets whose answers are kept to derive others from.
@@ -218,8 +220,56 @@ def _list_pairs(batches, percent: int):
         yield from _block_pairs(held, percent)
 
 
+class _Known:
+    """Of the entries of long lists: token, lo, hi and pos of their families' entries in long lists that come before."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        long = rows["lists"].notna().to_numpy()
+        self.percent, self.place, own = percent, np.cumsum(long) - 1, rows["token"].to_numpy()[long]
+        parts = [rows[c].to_numpy()[long] for c in _KNOWN]
+        sizes = np.array([np.searchsorted(x, t) for x, t in zip(parts[0], own, strict=True)], dtype=np.int64)
+        self.valid = np.arange(sizes.max(initial=0)) < sizes[:, None]
+        self.token, self.lo, self.hi, self.pos = (np.zeros(self.valid.shape, dtype=np.int64) for _ in parts)
+        for to, lists in zip((self.token, self.lo, self.hi, self.pos), parts, strict=True):
+            if len(lists):
+                to[self.valid] = np.concatenate([x[:n] for x, n in zip(lists, sizes, strict=True)])
+        self.long = long
+
+    def given(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a list before gives the pair, too."""
+        out = np.zeros(len(i), dtype=bool)
+        at = np.flatnonzero(self.long[i])
+        for part in np.split(at, range(20_000, len(at), 20_000)):
+            x, y = self.place[i[part]], self.place[j[part]]
+            there, real = self.token[y], self.valid[y]
+            for k in range(self.valid.shape[1]):
+                same = (there == self.token[x, k][:, None]) & real & self.valid[x, k][:, None]
+                w = np.flatnonzero(same.any(axis=1))
+                a, b, c = x[w], y[w], same[w].argmax(axis=1)
+                out[part[w]] |= may_link(self.lo[a, k], self.hi[a, k], self.pos[a, k], self.lo[b, c], self.hi[b, c], self.pos[b, c], self.percent)
+        return out
+
+
+_KNOWN = ("lists", "los", "his", "places")
+
+
+def _with_known(lists: DataFrame) -> DataFrame:
+    """``lists`` (token, fam, lo, hi, pos), and for entries of long ones the first ``KNOWN_LISTS`` of those that the family is in, by token."""
+    lists = stored(lists)
+    long = stored(lists.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") >= LONG_LIST).select("token"))
+    if not long.take(1):
+        return lists
+    entry = F.struct("token", "lo", "hi", "pos")
+    entries = stored(lists.join(dealt_anew(long, "token"), "token"))
+    known = entries.groupBy("fam").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, KNOWN_LISTS).alias("known"))
+    known = known.select("fam", *[F.col(f"known.{c}").alias(n) for c, n in zip(("token", "lo", "hi", "pos"), _KNOWN, strict=True)])
+    rest = lists.join(dealt_anew(long, "token"), "token", "left_anti")
+    return rest.unionByName(entries.join(dealt_anew(known, "fam"), "fam"), allowMissingColumns=True)
+
+
 def _block_pairs(rows: pd.DataFrame, percent: int):
     """Candidates of whole lists: blocks of up to ``LIST_BLOCK`` entries of one list, each with itself and those before it that aren't skipped."""
+    known = _Known(rows, percent) if "lists" in rows and rows["lists"].notna().any() else None
     token, fam, lo, hi, pos = (rows[c].to_numpy() for c in ("token", "fam", "lo", "hi", "pos"))
     first = np.concatenate(([True], token[1:] != token[:-1]))
     start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
@@ -231,6 +281,8 @@ def _block_pairs(rows: pd.DataFrame, percent: int):
 
     def pairs(i: np.ndarray, j: np.ndarray) -> int:
         ok = may_link(lo[i], hi[i], pos[i], lo[j], hi[j], pos[j], percent)
+        if known is not None and ok.any():
+            ok[ok] = ~known.given(i[ok], j[ok])
         if ok.any():
             a, b = fam[i[ok]], fam[j[ok]]
             out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
@@ -481,7 +533,7 @@ def _resolved(documents: DataFrame, k: int, percent: int, count_links: bool) ->
     met = python_rows(dealt, _met, "token bigint, sid bigint, n int, pos int")
     met = met.join(families.select(F.col("x").alias("sid"), F.col("y").alias("lead")), "sid", "left").withColumn("fam", F.coalesce("lead", "sid"))
     lists = met.groupBy("token", "fam").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-    lists = lists.repartition("token").sortWithinPartitions("token", "lo", "pos", "fam")
+    lists = _with_known(lists).repartition("token").sortWithinPartitions("token", "lo", "pos", "fam")
     pairs = python_rows(lists, lambda bs: _list_pairs(bs, percent), "x bigint, y bigint").distinct()
     for c in ("x", "y"):
         pairs = pairs.join(radius.select(F.col("fam").alias(c), F.col("radius").alias(f"r_{c}")), c, "left").fillna(0.0, [f"r_{c}"])

@@ -224,9 +224,10 @@ class _Known:
     """Of the entries of long lists: token, lo, hi and pos of their families' entries in long lists that come before."""
 
     def __init__(self, rows: pd.DataFrame, percent: int):
-        long = rows["lists"].notna().to_numpy()
+        long = (rows["known"] != "").to_numpy()
         self.percent, self.place, own = percent, np.cumsum(long) - 1, rows["token"].to_numpy()[long]
-        parts = [rows[c].to_numpy()[long] for c in _KNOWN]
+        facts = [np.array(x.split(","), dtype=np.int64).reshape(-1, 4).T for x in rows["known"].to_numpy()[long]]
+        parts = [[x[c] for x in facts] for c in range(4)]
         sizes = np.array([np.searchsorted(x, t) for x, t in zip(parts[0], own, strict=True)], dtype=np.int64)
         self.valid = np.arange(sizes.max(initial=0)) < sizes[:, None]
         self.token, self.lo, self.hi, self.pos = (np.zeros(self.valid.shape, dtype=np.int64) for _ in parts)
@@ -250,26 +251,26 @@ class _Known:
         return out
 
 
-_KNOWN = ("lists", "los", "his", "places")
-
-
 def _with_known(lists: DataFrame) -> DataFrame:
-    """``lists`` (token, fam, lo, hi, pos), and for entries of long ones the first ``KNOWN_LISTS`` of those that the family is in, by token."""
+    """``lists`` (token, fam, lo, hi, pos), and for entries of long ones the first ``KNOWN_LISTS`` of those that the family is in, by token.
+
+    They travel as one text, empty for most: Spark takes the square of a batch's rows for columns of null arrays.
+    """
     lists = stored(lists)
     long = stored(lists.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") >= LONG_LIST).select("token"))
     if not long.take(1):
         return lists
     entry = F.struct("token", "lo", "hi", "pos")
     entries = stored(lists.join(dealt_anew(long, "token"), "token"))
-    known = entries.groupBy("fam").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, KNOWN_LISTS).alias("known"))
-    known = known.select("fam", *[F.col(f"known.{c}").alias(n) for c, n in zip(("token", "lo", "hi", "pos"), _KNOWN, strict=True)])
-    rest = lists.join(dealt_anew(long, "token"), "token", "left_anti")
-    return rest.unionByName(entries.join(dealt_anew(known, "fam"), "fam"), allowMissingColumns=True)
+    first = F.slice(F.sort_array(F.collect_list(entry)), 1, KNOWN_LISTS)
+    known = entries.groupBy("fam").agg(F.array_join(F.transform(first, lambda x: F.concat_ws(",", x["token"], x["lo"], x["hi"], x["pos"])), ",").alias("known"))
+    rest = lists.join(dealt_anew(long, "token"), "token", "left_anti").withColumn("known", F.lit(""))
+    return rest.unionByName(entries.join(dealt_anew(known, "fam"), "fam"))
 
 
 def _block_pairs(rows: pd.DataFrame, percent: int):
     """Candidates of whole lists: blocks of up to ``LIST_BLOCK`` entries of one list, each with itself and those before it that aren't skipped."""
-    known = _Known(rows, percent) if "lists" in rows and rows["lists"].notna().any() else None
+    known = _Known(rows, percent) if "known" in rows and (rows["known"] != "").any() else None
     token, fam, lo, hi, pos = (rows[c].to_numpy() for c in ("token", "fam", "lo", "hi", "pos"))
     first = np.concatenate(([True], token[1:] != token[:-1]))
     start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))

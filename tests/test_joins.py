@@ -180,6 +180,23 @@ def test_wide_inputs_wait(spark):
     assert want and all(bag(_trade(spark).plan(strategy=s).to_df()) == want for s in STRATEGIES)
 
 
+def test_small_inputs_are_sent_whole(spark):
+    """Rows met so far aren't dealt out again for an input of few bytes that is above Spark's own threshold; if broadcasts are switched off, none is made."""
+    key, bytes_ = "spark.sql.autoBroadcastJoinThreshold", native.SMALL_BYTES
+    before, found = spark.conf.get(key), {}
+    try:
+        for threshold, native.SMALL_BYTES in (("1", 4000), ("1", 0), ("-1", 4000)):  # suppliers and nations have less, the others more
+            spark.conf.set(key, threshold)
+            df = _trade(spark).plan(strategy="auto").to_df()
+            found[threshold, native.SMALL_BYTES] = str(df._jdf.queryExecution().sparkPlan()).count("BroadcastHashJoin"), bag(df)
+    finally:
+        native.SMALL_BYTES = bytes_
+        spark.conf.set(key, before)
+    assert [n for n, _ in found.values()] == [2, 0, 0]
+    (_, want), *others = found.values()
+    assert want and all(rows == want for _, rows in others)
+
+
 def test_tries_of_few_keys_are_not_carried(spark):
     found = []
     _prepared(_trade(spark), lambda plan, inputs: found.append({frozenset(inputs[i].variables): n for i, n in trie.merged_levels(plan, inputs).items()}) or inputs[0])

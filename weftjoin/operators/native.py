@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from weftjoin.operators.inputs import Input, merged, var
 from weftjoin.plans.fjplan import FJPlan
-from weftjoin.sources.catalog import estimated_rows
+from weftjoin.sources.catalog import estimated_bytes, estimated_rows
 
 #: Rows of an input for each key, by the estimates, from which on it waits for inputs that multiply rows less.
 WIDE = 16
 
+#: Bytes of an input, by the estimates, up to which it is sent whole to every executor: the rows met so far, of which there are
+#: more from join to join, then stay where they are.
+SMALL_BYTES = 2 << 20
+
 
 class Widths:
     """How many rows of an input share a key, at least in the mean and as far as Catalyst's estimates tell; no job is started.
@@ -59,6 +63,8 @@ def join_pair(left: DataFrame, bound: set[int], right: Input) -> DataFrame:
     if not shared:
         return left.crossJoin(right.df)  # no variable in common: the query asks for the product
     renamed = right.df.select(*[F.col(f"`{c}`").alias(f"r_{c}" if c in map(var, shared) else c) for c in right.df.columns])
+    if estimated_bytes(right.df) <= SMALL_BYTES and not left.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
+        renamed = F.broadcast(renamed)  # an estimate near Spark's own threshold would have the plan change as the tables grow
     on = [F.col(var(v)) == F.col(f"r_{var(v)}") for v in shared]
     return left.join(renamed, on, "inner").drop(*[f"r_{var(v)}" for v in shared])
 
